@@ -4,7 +4,7 @@ The page is read once, tag by tag. Markup that cannot hold text (scripts, styles
 comments, forms, ...) is skipped, inline tags are dropped, and every other tag
 ends a block. A block is described by its word count and link density, the same
 two of the blocks before and after it, and by what encloses it: an article or
-main element, an element whose name or class says menu, header, footer, sidebar,
+main element (or none, where the page has one), an element whose name or class says menu, header, footer, sidebar,
 notice, advert or comments, a heading. A decision tree, grown at first use from
 the small labelled table below, decides which blocks are main text.
 
@@ -45,7 +45,7 @@ FEATURES = ("words", "link_density", "prev_words", "prev_links", "next_words", "
 
 #: Labelled blocks: the features above, then 1 for main text.
 LABELLED = (
-    # words, links, prev, links, next, links, main, boiler, heading, header, keep
+    # words, links, prev, links, next, links, main (-1: the page has one elsewhere), boiler, heading, header, keep
     (120, 0.00, 80, 0.0, 95, 0.00, 1, 0, 0, 0, 1),
     (60, 0.05, 10, 0.0, 70, 0.00, 1, 0, 0, 0, 1),
     (9, 0.00, 2, 1.0, 140, 0.00, 1, 0, 1, 0, 1),
@@ -83,6 +83,14 @@ LABELLED = (
     (3, 0.00, 2, 1.0, 2, 1.00, 0, 0, 0, 0, 0),
     (5, 0.00, 4, 0.0, 3, 0.00, 0, 0, 0, 0, 0),
     (4, 0.00, 6, 0.5, 0, 0.00, 0, 0, 0, 0, 0),
+    (75, 0.00, 40, 0.0, 60, 0.00, -1, 0, 0, 0, 0),
+    (40, 0.00, 2, 1.0, 90, 0.00, -1, 0, 0, 0, 0),
+    (24, 0.05, 0, 0.0, 40, 0.00, -1, 0, 0, 1, 0),
+    (12, 0.00, 55, 0.0, 6, 0.00, -1, 0, 0, 0, 0),
+    (9, 0.00, 7, 0.0, 8, 0.00, -1, 0, 1, 0, 0),
+    (6, 0.00, 3, 0.0, 11, 0.00, -1, 0, 1, 1, 0),
+    (3, 0.00, 0, 0.0, 70, 0.00, -1, 0, 0, 0, 0),
+    (18, 0.00, 33, 0.0, 0, 0.00, -1, 0, 0, 0, 0),
     (75, 0.00, 40, 0.0, 60, 0.00, 0, 0, 0, 0, 1),
     (42, 0.08, 9, 0.0, 51, 0.00, 0, 0, 0, 0, 1),
     (22, 0.00, 55, 0.0, 31, 0.10, 0, 0, 0, 0, 1),
@@ -182,7 +190,7 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool, bool]]:
             main, boiler, heading, header = stack[-1][1:] if stack else (False,) * 4
             about = " ".join(x.strip("\"'") for x in ATTR.findall(m.group(3)))
             main = main or name in ("article", "main")
-            boiler = boiler or name in BOILER or bool(about and name not in ("html", "body", "article", "main") and MARKS.search(about))
+            boiler = boiler or name in BOILER or (name == "header" and not main) or bool(about and name not in ("html", "body", "article", "main") and MARKS.search(about))
             if not boiler and about and name in ("div", "section") and MAIN.search(about):
                 main = True
             stack.append((name, main, boiler, heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), header or name == "header"))
@@ -210,11 +218,12 @@ def main_text(html: str | None, tree: tuple | None = None) -> str:
     tree = tree or trained()
     found = blocks(html or "")
     words = [len(b[0].split()) for b in found]
+    has_main = any(b[2] for b in found)
     keep = []
     for i, (text, density, main, boiler, heading, header) in enumerate(found):
         before = (words[i - 1], found[i - 1][1]) if i else (0, 0.0)
         after = (words[i + 1], found[i + 1][1]) if i + 1 < len(found) else (0, 0.0)
-        if judge(tree, (words[i], density, *before, *after, main, boiler, heading, header)):
+        if judge(tree, (words[i], density, *before, *after, main or -has_main, boiler, heading, header)):
             keep.append(text)
     return "\n\n".join(keep)
 
