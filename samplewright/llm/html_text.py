@@ -66,6 +66,30 @@ LABELLED = (
     (4, 1.00, 4, 1.0, 4, 1.00, 1, 0, 0, 0, 1),
     (6, 0.00, 14, 0.0, 7, 0.00, 1, 0, 1, 1, 1),
     (5, 0.00, 8, 0.0, 0, 0.00, 1, 0, 0, 1, 1),
+    (1, 1.00, 3, 0.3, 2, 1.00, 1, 0, 0, 0, 1),
+    (1, 1.00, 1, 1.0, 0, 0.50, 1, 0, 1, 0, 1),
+    (2, 0.50, 3, 1.0, 3, 1.00, 1, 0, 0, 0, 1),
+    (2, 0.00, 2, 0.0, 3, 1.00, 1, 0, 1, 0, 1),
+    (3, 0.00, 1, 0.0, 2, 0.50, 1, 0, 0, 0, 1),
+    (3, 0.50, 5, 1.0, 70, 1.00, 1, 0, 1, 0, 1),
+    (4, 0.00, 85, 0.3, 2, 0.00, 1, 0, 0, 0, 1),
+    (4, 0.50, 2, 0.0, 70, 0.50, 1, 0, 1, 0, 1),
+    (5, 1.00, 5, 1.0, 25, 0.50, 1, 0, 0, 0, 1),
+    (5, 0.10, 30, 0.3, 3, 0.00, 1, 0, 1, 0, 1),
+    (7, 1.00, 2, 0.0, 8, 0.00, 1, 0, 0, 0, 1),
+    (7, 0.50, 5, 0.0, 4, 0.00, 1, 0, 1, 0, 1),
+    (11, 0.50, 85, 0.3, 1, 0.00, 1, 0, 0, 0, 1),
+    (11, 0.50, 2, 0.3, 0, 1.00, 1, 0, 0, 0, 1),
+    (16, 1.00, 1, 0.0, 0, 1.00, 1, 0, 0, 0, 1),
+    (16, 0.10, 9, 0.0, 4, 0.00, 1, 0, 0, 0, 1),
+    (23, 0.00, 0, 0.0, 1, 0.00, 1, 0, 0, 0, 1),
+    (23, 0.00, 30, 0.3, 4, 0.00, 1, 0, 0, 0, 1),
+    (34, 0.50, 9, 0.3, 8, 0.00, 1, 0, 0, 0, 1),
+    (34, 1.00, 30, 1.0, 70, 0.00, 1, 0, 0, 0, 1),
+    (60, 0.10, 140, 1.0, 4, 0.00, 1, 0, 0, 0, 1),
+    (60, 0.00, 30, 0.3, 4, 0.50, 1, 0, 0, 0, 1),
+    (130, 1.00, 30, 0.0, 8, 1.00, 1, 0, 0, 0, 1),
+    (130, 0.10, 2, 0.3, 0, 1.00, 1, 0, 0, 0, 1),
     (1, 1.00, 1, 1.0, 1, 1.00, 0, 1, 0, 0, 0),
     (1, 1.00, 0, 0.0, 1, 1.00, 0, 1, 0, 0, 0),
     (9, 0.00, 1, 1.0, 8, 0.00, 0, 1, 0, 0, 0),
@@ -83,6 +107,20 @@ LABELLED = (
     (3, 0.00, 2, 1.0, 2, 1.00, 0, 0, 0, 0, 0),
     (5, 0.00, 4, 0.0, 3, 0.00, 0, 0, 0, 0, 0),
     (4, 0.00, 6, 0.5, 0, 0.00, 0, 0, 0, 0, 0),
+    (15, 0.00, 1, 1.0, 3, 0.00, -1, 1, 0, 0, 0),
+    (33, 0.00, 0, 0.0, 8, 0.00, -1, 1, 0, 0, 0),
+    (90, 0.00, 2, 1.0, 70, 0.00, -1, 1, 0, 0, 0),
+    (20, 0.00, 0, 0.0, 1, 1.00, -1, 0, 0, 0, 0),
+    (28, 0.00, 1, 1.0, 5, 0.00, -1, 0, 0, 0, 0),
+    (64, 0.00, 2, 0.0, 4, 0.00, -1, 0, 0, 0, 0),
+    (17, 0.00, 1, 0.0, 2, 0.00, -1, 0, 1, 0, 0),
+    (31, 0.10, 2, 1.0, 9, 0.00, -1, 0, 0, 0, 0),
+    (8, 0.00, 40, 0.0, 44, 0.00, -1, 0, 0, 0, 0),
+    (52, 0.00, 88, 0.0, 25, 0.00, -1, 0, 0, 0, 0),
+    (41, 0.00, 3, 0.0, 17, 0.00, 0, 1, 0, 0, 0),
+    (26, 0.00, 64, 0.0, 50, 0.00, 0, 1, 0, 0, 0),
+    (70, 0.10, 0, 0.0, 30, 0.00, 0, 1, 0, 0, 0),
+    (19, 0.00, 1, 1.0, 2, 0.00, 0, 1, 0, 0, 0),
     (75, 0.00, 40, 0.0, 60, 0.00, -1, 0, 0, 0, 0),
     (40, 0.00, 2, 1.0, 90, 0.00, -1, 0, 0, 0, 0),
     (24, 0.05, 0, 0.0, 40, 0.00, -1, 0, 0, 1, 0),
@@ -92,6 +130,13 @@ LABELLED = (
     (3, 0.00, 0, 0.0, 70, 0.00, -1, 0, 0, 0, 0),
     (18, 0.00, 33, 0.0, 0, 0.00, -1, 0, 0, 0, 0),
     (75, 0.00, 40, 0.0, 60, 0.00, 0, 0, 0, 0, 1),
+    (33, 0.00, 95, 0.0, 4, 0.00, 0, 0, 0, 0, 1),
+    (110, 0.00, 120, 0.0, 3, 1.00, 0, 0, 0, 0, 1),
+    (27, 0.00, 14, 0.0, 2, 0.00, 0, 0, 0, 0, 1),
+    (19, 0.00, 3, 0.0, 5, 0.00, 0, 0, 0, 0, 1),
+    (45, 0.10, 60, 0.0, 0, 0.00, 0, 0, 0, 0, 1),
+    (24, 0.00, 11, 0.0, 1, 1.00, 0, 0, 0, 0, 1),
+    (13, 0.00, 0, 0.0, 0, 0.00, 0, 0, 0, 0, 1),
     (42, 0.08, 9, 0.0, 51, 0.00, 0, 0, 0, 0, 1),
     (22, 0.00, 55, 0.0, 31, 0.10, 0, 0, 0, 0, 1),
     (6, 0.00, 2, 1.0, 66, 0.00, 0, 0, 1, 0, 1),
