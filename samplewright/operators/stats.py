@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numeric as num
 from .series import ship
@@ -55,7 +56,7 @@ def t_table(prepared: DataFrame, design: str = "paired") -> DataFrame:
 def add_p(table: DataFrame, tail: str = "both") -> DataFrame:
     """Adds p from the t distribution, in Arrow batches."""
     ship(table)
-    schema = table.schema.add("p", "double")
+    schema = T.StructType([*table.schema.fields, T.StructField("p", T.DoubleType())])
 
     def run(batches):
         import pyarrow as pa

@@ -1,7 +1,10 @@
-"""Registry of the engine's queries and their SQL twins."""
+"""All of the engine's queries and their SQL twins."""
 
 from __future__ import annotations
 
+from . import q_analysis, q_averages, q_signals  # noqa: F401  (they register themselves)
+from .registry import ORACLES, QUERIES
+
 FLAGSHIP = "mean_amplitude"
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
