@@ -141,31 +141,34 @@ def compare_models(matrix: DataFrame, models: dict[str, DataFrame], method: str
     ddl = "model string, " + "".join(f"{k} {types[k]}, " for k in keys) + "r double, p double"
     for name, model in models.items():
         both = matrix.join(model.select("i", "j", F.col("d").alias("m")), ["i", "j"])
-
-        def run(key, table, name=name):
-            import pyarrow as pa
-
-            i, j = np.array(table.column("i").to_pylist()), np.array(table.column("j").to_pylist())
-            d, m = table.column("d").to_numpy(zero_copy_only=False).astype(float), table.column("m").to_numpy(zero_copy_only=False).astype(float)
-            if method == "spearman":
-                d, m = num.ranks(d), num.ranks(m)
-            nodes, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
-            a, b = flat[: len(i)], flat[len(i) :]
-            square = np.zeros((len(nodes), len(nodes)))
-            square[a, b] = square[b, a] = m
-            corr = lambda x: float(np.corrcoef(d, x)[0, 1])
-            r, rng, hits = corr(m), np.random.default_rng(seed), 0
-            for _ in range(n_permutations):
-                p = rng.permutation(len(nodes))
-                hits += abs(corr(square[p[a], p[b]])) >= abs(r)
-            cols = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}
-            return pa.table({"model": [name]} | cols | {"r": [r], "p": [hits / n_permutations if n_permutations else float("nan")]})
-
-        part = both.groupBy(*keys).applyInArrow(run, ddl)
+        part = both.groupBy(*keys).applyInArrow(_relabelled(name, method, list(keys), n_permutations, seed), ddl)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _relabelled(name: str, method: str, keys: list[str], n_permutations: int, seed: int):
+    def run(key, table):
+        import pyarrow as pa
+
+        i, j = np.array(table.column("i").to_pylist()), np.array(table.column("j").to_pylist())
+        d, m = table.column("d").to_numpy(zero_copy_only=False).astype(float), table.column("m").to_numpy(zero_copy_only=False).astype(float)
+        if method == "spearman":
+            d, m = num.ranks(d), num.ranks(m)
+        nodes, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
+        a, b = flat[: len(i)], flat[len(i) :]
+        square = np.zeros((len(nodes), len(nodes)))
+        square[a, b] = square[b, a] = m
+        corr = lambda x: float(np.corrcoef(d, x)[0, 1])
+        r, rng, hits = corr(m), np.random.default_rng(seed), 0
+        for _ in range(n_permutations):
+            p = rng.permutation(len(nodes))
+            hits += abs(corr(square[p[a], p[b]])) >= abs(r)
+        cols = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}
+        return pa.table({"model": [name]} | cols | {"r": [r], "p": [hits / n_permutations if n_permutations else float("nan")]})
+
+    return run
+
+
 def grand_average(matrices: DataFrame, keys: Sequence[str] = ("time",)) -> DataFrame:
     """Mean matrix over participants."""
     return matrices.groupBy(*keys, "i", "j").agg(F.avg("d").alias("d"), F.count("d").alias("n"))

@@ -246,6 +246,19 @@ def noise_ceiling(spark, d):
     return rounded(rsa.noise_ceiling(_participant_rdms(spark, d), "pearson", []), "lower", "upper")
 
 
+@query()
+def rdm_compare_models(spark, d):
+    m = rsa.rdm(rsa.mean_patterns(views.patterns(spark, d)), "euclidean").withColumn("time", F.lit(0.0))
+    model = rsa.model_from_values(m.select(F.explode(F.array("i", "j")).alias("c")).distinct(), "c", "c")
+    return rounded(rsa.compare_models(m, {"distance": model}, n_permutations=200), "r", "p")
+
+
+@query()
+def rdm_crossvalidated(spark, d):
+    rows = views.trials(spark, d).select(F.lit(0.0).alias("time"), "condition", "epoch", F.col("pos").alias("channel"), "value")
+    return rounded(rsa.crossvalidated(rows, "euclidean", "kfold", n_folds=3), "d")
+
+
 @query("SELECT a.n_nationkey AS i, b.n_nationkey AS j, CAST(a.n_regionkey <> b.n_regionkey AS DOUBLE) AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def model_categorical(spark, d):
     return rsa.model_from_values(views.table(spark, d, "nation"), "n_nationkey", "n_regionkey", "categorical")

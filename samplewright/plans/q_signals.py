@@ -139,7 +139,7 @@ def mirror(spark, d):
 @query("SELECT epoch, pos, round(value, 6) + 0.0 AS value FROM trials", "trials")
 def mirror_round_trip(spark, d):
     out = epochs.unmirror(epochs.mirror(views.trials(spark, d).select("epoch", "pos", "time", "value"), ["epoch"]), ["epoch"])
-    return rounded(out.select("epoch", "pos", "value"), "value")
+    return rounded(out.select("epoch", F.col("pos").cast("int").alias("pos"), "value"), "value")
 
 
 @query(
