@@ -3,7 +3,8 @@
 Edges shrink to a star around the least node of each component in a number of
 rounds that grows with the logarithm of its size. Node lists never meet in one
 task or on the driver: a node's least neighbour comes from a partial aggregate,
-and the join that hands it out lets adaptive execution split a hub's rows.
+and the join that hands it out sends it to the rows of a hub (a node with over a
+thousandth of all edges, of which there are few) by broadcast.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, join_groups, map_arrow
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -49,15 +50,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) pairs -> (node, component): component is the least node; nodes without an edge are absent."""
     edges = edges.toDF("u", "v").filter("u is not null and v is not null and u <> v")
     edges = cut(_contract(edges).distinct(), "edges")
-    sign = None
+    sign, total = None, edges.count()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.filter("u <> v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_groups(both, least, "u", "n", 2 * total).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u")
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_groups(down, least, "u", "n", total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.filter("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -65,5 +65,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        sign = now
+        sign, total = now, now[0]
     raise RuntimeError("components did not settle")
