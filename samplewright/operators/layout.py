@@ -59,6 +59,18 @@ def weight_map(edges: DataFrame) -> dict[str, dict[str, float]]:
     return out
 
 
+def neighbours_toml(edges: DataFrame) -> str:
+    """The neighbour lists as TOML text: channels, distances and weights per electrode."""
+    out = []
+    rows = edges.orderBy("channel", "distance", "neighbour").collect()
+    for name in dict.fromkeys(r["channel"] for r in rows):
+        mine = [r for r in rows if r["channel"] == name]
+        out.append(f'["{name}"]')
+        out.append("channels = [" + ", ".join(f'"{r["neighbour"]}"' for r in mine) + "]")
+        out += [f"{k}s = [" + ", ".join(f"{r[k]:.6g}" for r in mine) + "]" for k in ("distance", "weight")]
+    return "\n".join(out) + "\n"
+
+
 def subset_layout(layout: DataFrame, labels: Sequence[str], label: str = "label") -> DataFrame:
     return layout.filter(F.col(label).isin(list(labels)))
 

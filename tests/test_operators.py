@@ -173,3 +173,24 @@ def test_empty_tables_give_empty_results(spark):
     assert epochs.mark_trigger_windows(none, [1], (-1, 1), 1).count() == 0
     long = none.select("participant", "time", F.lit(1.0).alias("value"))
     assert measure.peaks(long, ["participant"]).count() == 0
+
+
+def test_settings_chain(spark):
+    from samplewright.operators.settings import Settings, apply_settings
+
+    df = synthetic.continuous(spark, n=500, rate=250, n_channels=3)
+    w = {"Ch3": {"Ch1": 0.5, "Ch2": 0.5}}
+    out = apply_settings(df, Settings(lowpass=40, reference="avg", repaired=("Ch3",), regions=((0.1, 0.2),)), ["Ch1", "Ch2", "Ch3"], 250, weights=w)
+    row = out.agg(F.max(F.abs(F.col("Ch3") - (F.col("Ch1") + F.col("Ch2")) / 2)).alias("gap"), F.count_if("is_selected_region").alias("n")).first()
+    assert row["gap"] < 1e-9 and row["n"] == 26
+    with pytest.raises(ValueError):
+        apply_settings(df, Settings(removed_components=(0,)), ["Ch1"], 250)
+
+
+def test_neighbour_lists_are_toml(spark):
+    import tomllib
+
+    pos = spark.createDataFrame([("A", 0.0, 0.0), ("B", 1.0, 0.0), ("C", 0.0, 2.0)], "label string, x2 double, y2 double")
+    got = tomllib.loads(layout.neighbours_toml(layout.neighbours(pos, 2.0)))
+    assert got["A"]["channels"] == ["B", "C"] and abs(sum(got["A"]["weights"]) - 1) < 1e-5
+    assert layout.rename_in_layout(pos, {"A": "B", "B": "A"}).first()["label"] == "B" and layout.subset_layout(pos, ["A"]).count() == 1
