@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
+MAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d]|[./-]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
-CARD = r"(?<![\d])(?<!\d[ -])(?:\d[ -]?){12,18}\d(?![ -]?\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){2,3}(?: \d{1,3})?|\d{4}(?:-\d{4}){2,3}(?:-\d{1,3})?|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
 PHONE = r"(?<![\d(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d]|[.-]\d)|(?<![\d])\+\d{8,15}(?!\d)"
 ANY = "|".join((MAIL, IP, DATE, SSN, CARD, PHONE))
 DAYS, EPOCH = 146097, "1800-01-01"
@@ -107,7 +107,6 @@ def _digits(x: Column) -> Column:
 def _card(x: Column, key: str, restore: bool) -> tuple[Column, Column]:
     d = _digits(x)
     body = F.substring(d, F.lit(1), F.length(d) - 1)
-    # A repeated digit is no card; it is also where Luhn holds for 000...
     ok = F.length(d).between(13, 19) & (_luhn(d) % 10 == 0)
     fresh = _permute_digits(body, key, "card", restore)
     check = F.pmod(10 - _luhn(F.concat(fresh, F.lit("0"))) % 10, F.lit(10)).cast("string")

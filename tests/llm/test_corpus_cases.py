@@ -278,6 +278,12 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(docs.filter("false")).count() == 0
 
 
+def test_values_beside_other_characters_are_found(spark):
+    texts = {"2 4111111111111111": 1, "no 7, 4111 1111 1111 1111.": 1, "3782-822463-10005": 1, "%%%bob.1@mail.example.com%%%": 1, "...amy@mail.example.com.": 1, "(10.1.2.3)": 1, "41111111111111111111111": 0, "1.2.3.4.5": 0}
+    got = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {list(texts)[r["doc_id"]]: r["n_replaced"] for r in got} == texts
+
+
 def test_permutations_are_one_to_one(spark):
     n = 189 * 7
     out = spark.range(n).select(pseudonyms.feistel(F.col("id"), F.lit(189), F.lit(7), "k", "t").alias("y"))
