@@ -9,9 +9,15 @@ in some tree reaches `recall`; a pair that shares a longer prefix shares the
 shorter one, so only the last length is grouped. Representatives that share a
 prefix are linked along their groups, the links' connected components hold every
 candidate pair, and each component is compared exactly: members are dealt to
-blocks, and every pair of blocks is one task that computes set intersections as
-matrix products and returns one row per member. No pairs are emitted and no
-group, however large, meets in one task.
+blocks, and every pair of blocks is one unit of work that computes set
+intersections as matrix products and returns one row per member. No pairs are
+emitted and no group, however large, meets in one task.
+
+A component of more than one block is compared whole or by its prefix groups,
+whichever takes fewer comparisons: n * n, or the sum of squares of the groups of
+all trees. Unlike texts that only chain (shared passages) thus cost what their
+groups cost, and true groups of near copies are not compared once per tree. By
+groups, a pair counts in the first tree whose prefix it shares.
 
 Cases: null text counts as empty; empty texts are one class of copies; texts of
 fewer words than `words` match only texts with the same words in order; repeated
@@ -31,6 +37,8 @@ from .components import components
 BLOCK = 256
 #: Groups of a shared prefix are linked in so many parts first, so that a prefix all texts share is no hot key.
 SALTS = 16
+#: What a row is compared in: a whole component (tree -1) or a prefix group of a tree, dealt to `blocks`.
+_UNITS = "array<struct<tree: int, grp: bigint, blocks: int>>"
 _FEATURES = "doc_id long, text_key long, row long, digest binary, keys array<long>"
 
 
@@ -118,7 +126,7 @@ def _features(docs: DataFrame, text: str, doc_id: str, words: int, trees: int, k
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """rep, text, digest, ... -> rep, ..., hashes: sets of rows whose text has the wanted digest."""
-    schema = "rep long, copies long, comp long, blocks int, hashes binary"
+    schema = f"rep long, copies long, keys array<long>, units {_UNITS}, hashes binary"
 
     def run(batches):
         import pyarrow as pa
@@ -133,9 +141,9 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                     keep.append(i)
                     sets.append(h)
             cols = [batch.column(i).take(pa.array(keep, pa.int64())) for i in range(2, 6)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], ["rep", "copies", "comp", "blocks", "hashes"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], ["rep", "copies", "keys", "units", "hashes"])
 
-    return map_arrow(texts.select("text", "digest", "rep", "copies", "comp", "blocks"), run, schema)
+    return map_arrow(texts.select("text", "digest", "rep", "copies", "keys", "units"), run, schema)
 
 
 def overlaps(sets: list[np.ndarray], dense_from: int = 24, width: int = 4096) -> np.ndarray:
@@ -179,13 +187,17 @@ def _compare(threshold: float):
     def run(key, table):
         import pyarrow as pa
 
-        i, j = key[1].as_py(), key[2].as_py()
+        tree, _, i, j = (x.as_py() for x in key)
         rep, first = np.unique(table.column("rep").to_numpy(), return_index=True)
         copies, block = table.column("copies").to_numpy()[first], table.column("block").to_numpy()[first]
         hashes = table.column("hashes")
         link = similar([np.frombuffer(hashes[int(p)].as_buffer(), dtype=np.uint64) for p in first], threshold)
         if i != j:
             link &= block[:, None] != block[None, :]
+        if tree > 0:  # pairs of an earlier tree are counted there
+            keys = np.stack(table.column("keys").to_numpy()[first])
+            for t in range(tree):
+                link &= keys[:, None, t] != keys[None, :, t]
         root = np.arange(len(rep))
         while True:  # least linked row, until it settles
             best = np.minimum(root, np.where(link, root[None, :], len(rep)).min(axis=1))
@@ -193,11 +205,22 @@ def _compare(threshold: float):
             if (best == root).all():
                 break
             root = best
-        return pa.table({"rep": rep, "links": (link @ copies).astype(np.int64), "root": rep[root], "blocks": np.repeat(table.column("blocks")[0].as_py(), len(rep)).astype(np.int32)})
+        return pa.table({"rep": rep, "links": (link @ copies).astype(np.int64), "root": rep[root], "whole": np.repeat(tree < 0 and table.column("blocks")[0].as_py() == 1, len(rep))})
 
     return run
 
 
+def _by_groups(members: DataFrame, large: DataFrame, block: int, total: int) -> DataFrame:
+    """(rep, units): the prefix groups of members of those large components (comp, n) that they make cheaper."""
+    shared = members.filter(F.col("n") > block).select("rep", "comp", F.posexplode("keys").alias("tree", "grp"))
+    groups = cut(shared.groupBy("comp", "tree", "grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "groups")
+    cost = groups.groupBy("comp").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("cost"))
+    cheaper = large.join(cost, "comp").filter(F.col("cost") < F.col("n").cast("double") * F.col("n")).select("comp")
+    groups = cut(groups.join(cheaper, "comp").select("grp", F.ceil(F.col("size") / block).cast("int").alias("blocks"), "size"), "group-blocks")
+    rows = join_groups(shared.select("rep", "tree", "grp"), groups, "grp", "size", total)
+    return rows.groupBy("rep").agg(F.collect_list(F.struct("tree", "grp", "blocks")).alias("units"))
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -207,6 +230,7 @@ def near_duplicates(
     recall: float = 0.9999,
     text: str = "text",
     doc_id: str = "doc_id",
+    block: int = BLOCK,
 ) -> DataFrame:
     """One row per document: doc_id, text_key, class_id, copies_id, copies, links, kept.
 
@@ -227,18 +251,23 @@ def near_duplicates(
     shared = cut(shared.filter("rep <> local").select("rep", "local").unionByName(heads.filter("rep <> least").select("rep", F.col("least").alias("local"))).distinct(), "links")
     clusters = components(shared)
 
-    members = cut(reps.select("rep", "first_id", "digest", "copies").join(clusters, F.col("rep") == F.col("node")).select("rep", "first_id", "digest", "copies", F.col("component").alias("comp")), "members")
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = join_groups(members, cut(sizes, "sizes"), "comp", "n", members.count())
+    members = cut(reps.select("rep", "first_id", "digest", "copies", "keys").join(clusters, F.col("rep") == F.col("node")).select("rep", "first_id", "digest", "copies", "keys", F.col("component").alias("comp")), "members")
+    total = members.count()
+    sizes = cut(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    members = join_groups(members, sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "comp", "n", total)
+    units = _by_groups(members, sizes.filter(F.col("n") > block), block, trees * total)
+    whole = F.array(F.struct(F.lit(-1).alias("tree"), F.col("comp").alias("grp"), "blocks"))
+    members = members.join(units, "rep", "left").withColumn("units", F.coalesce("units", whole))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = texts.join(members, texts["doc_id"].eqNullSafe(members["first_id"]))
-    units = _sets(texts, words).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    units = _sets(texts, words).withColumn("unit", F.explode("units")).select("rep", "copies", "hashes", "unit.*", F.when(F.col("unit.tree") > 0, F.col("keys")).alias("keys"))
+    units = units.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    found = cut(units.groupBy("comp", "i", "j").applyInArrow(_compare(threshold), "rep long, links long, root long, blocks int"), "found")
+    found = cut(units.groupBy("tree", "grp", "i", "j").applyInArrow(_compare(threshold), "rep long, links long, root long, whole boolean"), "found")
 
-    merged = components(found.filter("blocks > 1 and rep <> root").select("rep", "root"))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min(F.when(F.col("blocks") == 1, F.col("root"))).alias("root"))
+    merged = components(found.filter("not whole and rep <> root").select("rep", "root"))
+    counts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))
     reps = reps.select("digest", "copies", "rep", "first_id").join(counts, "rep", "left").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     reps = cut(reps.select("digest", "copies", "rep", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "root", "rep").alias("root")), "reps-done")
     top = F.min(F.struct(F.coalesce("first_id", F.lit(2**63 - 1)).alias("o"), "rep", "first_id"))

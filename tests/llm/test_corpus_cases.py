@@ -84,6 +84,26 @@ def test_near_join(odd, none):
     assert out.columns == odd.columns and out.count() == 7
 
 
+def test_near_join_of_a_chain_by_prefix_groups(spark, monkeypatch):
+    """A long chain is compared by its prefix groups, a true group whole; both as brute force has it."""
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 1000)]
+    texts = [" ".join(words[3 * i : 3 * i + 40 + i % 3]) for i in range(250)]
+    base = [f"v{x}" for x in rng.integers(0, 10**6, 60)]
+    texts += [" ".join([*base, f"end{i}"]) for i in range(40)]
+    used = []
+    monkeypatch.setattr(near_join, "_by_groups", lambda *a, f=near_join._by_groups: (used.append(f(*a)), used[-1])[1])
+    got = near_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=8).toPandas().set_index("doc_id")
+    assert 200 < used[0].count() <= 250
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in map(str.split, texts)]
+    like = [[j for j in range(290) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(290)]
+    assert got.links.to_dict() == {i: len(x) for i, x in enumerate(like)}
+    root = list(range(290))
+    while (new := [min([root[i], *(root[j] for j in like[i])]) for i in range(290)]) != root:
+        root = new
+    assert got.class_id.to_dict() == dict(enumerate(root)) and got.kept.sum() == len(set(root))
+
+
 def test_near_join_of_a_large_group(spark):
     """More near copies than two blocks hold; a chain whose ends are unlike is still one class."""
     rng = np.random.default_rng(0)
