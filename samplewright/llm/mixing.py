@@ -124,8 +124,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     A document appears once for each pass in which its middle word is within the
     target, so whole documents are kept and a source's words are within half a
-    document of its target. Texts move once, in the range sort; the join that
-    brings positions to them is by doc_id and text size.
+    document of its target. Texts move in the join that brings positions to them (by
+    doc_id, source and text size) and, once per copy, in the range sort.
     """
     schedules = kw.get("schedules", (FADE_OUT, FADE_IN, FADE_IN))
     plan = plan_mix(docs, text=text, source=source, doc_id=doc_id, **kw)
