@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_groups
 from .components import components
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -90,8 +90,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges
     edges = cut(edges if edges is not None else alias_edges(pages, url, html), "alias-edges")
     nodes = components(edges)
     host, path = split_url(F.col("node"))
-    blocked = nodes.withColumn("_rule", rule_column(host, path, rules)).groupBy("component").agg(F.max(F.coalesce(F.col("_rule.action") == "block", F.lit(False))).alias("blocked"))
-    nodes = cut(nodes.join(blocked, "component").select("node", "component", "blocked"), "aliases")
+    any_block = F.max(F.coalesce(F.col("_rule.action") == "block", F.lit(False))).alias("blocked")
+    blocked = nodes.withColumn("_rule", rule_column(host, path, rules)).groupBy("component").agg(any_block, F.count(F.lit(1)).alias("n"))
+    nodes = cut(join_groups(nodes, cut(blocked, "blocked"), "component", "n", nodes.count()).select("node", "component", "blocked"), "aliases")
     host, path = split_url(F.col("_url"))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url")).withColumns({"host": host, "path": path, "_node": identity(F.col("_url"))})
     rows = rows.withColumn("_rule", rule_column(F.col("host"), F.col("path"), rules))
