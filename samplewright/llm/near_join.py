@@ -13,7 +13,8 @@ blocks, and every pair of blocks is one unit of work that computes set
 intersections as matrix products and returns one row per member. No pairs are
 emitted and no group, however large, meets in one task.
 
-A component of more than one block is compared whole or by its prefix groups,
+A block holds up to `block` texts and about `hashes` hashes, so tasks are bounded
+for long texts too. A component of more than one block is compared whole or by its prefix groups,
 whichever takes fewer comparisons: n * n, or the sum of squares of the groups of
 all trees. Unlike texts that only chain (shared passages) thus cost what their
 groups cost, and true groups of near copies are not compared once per tree. By
@@ -27,19 +28,22 @@ rows count as copies; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_groups, map_arrow
 from .components import components
 
-#: Members of a block; a task compares at most two blocks.
+#: Members of a block, and hashes in their sets; a task compares at most two blocks, or two texts that hold more.
 BLOCK = 256
+HASHES = 1 << 19
+#: Texts whose sets are returned to Spark at once.
+SLICE = 512
 #: Groups of a shared prefix are linked in so many parts first, so that a prefix all texts share is no hot key.
 SALTS = 16
 #: What a row is compared in: a whole component (tree -1) or a prefix group of a tree, dealt to `blocks`.
 _UNITS = "array<struct<tree: int, grp: bigint, blocks: int>>"
-_FEATURES = "doc_id long, text_key long, row long, digest binary, keys array<long>"
+_FEATURES = "doc_id long, text_key long, row long, digest binary, size long, keys array<long>"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -112,13 +116,11 @@ def _features(docs: DataFrame, text: str, doc_id: str, words: int, trees: int, k
             out = []
             for value in batch.column(2):
                 h = shingle(value.as_py())
-                out.append((row, xxhash.xxh3_128_digest(h.tobytes()), keys(h) if len(h) else []))
+                out.append((row, xxhash.xxh3_128_digest(h.tobytes()), len(h), keys(h) if len(h) else []))
                 row += 1
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "row", "digest", "keys"],
-            )
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            cols = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text_key", "row", "digest", "size", "keys"])
 
     body = F.coalesce(F.col(text), F.lit(""))
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text")), run, _FEATURES)
@@ -133,7 +135,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         shingle = Shingler(words)
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             keep, sets = [], []
             for i, (value, want) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
                 h = shingle(value.as_py()).tobytes()
@@ -210,14 +212,19 @@ def _compare(threshold: float):
     return run
 
 
-def _by_groups(members: DataFrame, large: DataFrame, block: int, total: int) -> DataFrame:
-    """(rep, units): the prefix groups of members of those large components (comp, n) that they make cheaper."""
-    shared = members.filter(F.col("n") > block).select("rep", "comp", F.posexplode("keys").alias("tree", "grp"))
-    groups = cut(shared.groupBy("comp", "tree", "grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "groups")
-    cost = groups.groupBy("comp").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("cost"))
+def _blocks(block: int, hashes: int) -> Column:
+    """Number of blocks for n texts whose sets hold `weight` hashes: never more than texts."""
+    return F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("weight") / hashes))).cast("int").alias("blocks")
+
+
+def _by_groups(members: DataFrame, large: DataFrame, block: int, hashes: int, total: int) -> DataFrame:
+    """(rep, units): the prefix groups of members of those components of several blocks (comp, n) that they make cheaper."""
+    shared = members.filter("blocks > 1").select("rep", "comp", "size", F.posexplode("keys").alias("tree", "grp"))
+    groups = cut(shared.groupBy("comp", "tree", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).filter("n > 1"), "groups")
+    cost = groups.groupBy("comp").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
     cheaper = large.join(cost, "comp").filter(F.col("cost") < F.col("n").cast("double") * F.col("n")).select("comp")
-    groups = cut(groups.join(cheaper, "comp").select("grp", F.ceil(F.col("size") / block).cast("int").alias("blocks"), "size"), "group-blocks")
-    rows = join_groups(shared.select("rep", "tree", "grp"), groups, "grp", "size", total)
+    groups = cut(groups.join(cheaper, "comp").select("grp", _blocks(block, hashes), "n"), "group-blocks")
+    rows = join_groups(shared.select("rep", "tree", "grp"), groups, "grp", "n", total)
     return rows.groupBy("rep").agg(F.collect_list(F.struct("tree", "grp", "blocks")).alias("units"))
 
 
@@ -231,6 +238,7 @@ def near_duplicates(
     text: str = "text",
     doc_id: str = "doc_id",
     block: int = BLOCK,
+    hashes: int = HASHES,
 ) -> DataFrame:
     """One row per document: doc_id, text_key, class_id, copies_id, copies, links, kept.
 
@@ -241,9 +249,9 @@ def near_duplicates(
     """
     k = prefix_length(trees, depth, threshold, recall)
     rows = cut(_features(docs, text, doc_id, words, trees, k), "features")
-    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "row", "doc_id", "keys")
+    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "row", "doc_id", "size", "keys")
     reps = rows.groupBy("digest").agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("copies"))
-    reps = cut(reps.select("digest", "copies", F.col("top.row").alias("rep"), F.col("top.doc_id").alias("first_id"), F.col("top.keys").alias("keys")), "reps")
+    reps = cut(reps.select("digest", "copies", F.col("top.row").alias("rep"), F.col("top.doc_id").alias("first_id"), "top.size", "top.keys"), "reps")
 
     shared = reps.select("rep", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
     shared = shared.withColumn("local", F.min("rep").over(Window.partitionBy("key", "salt")))
@@ -251,11 +259,12 @@ def near_duplicates(
     shared = cut(shared.filter("rep <> local").select("rep", "local").unionByName(heads.filter("rep <> least").select("rep", F.col("least").alias("local"))).distinct(), "links")
     clusters = components(shared)
 
-    members = cut(reps.select("rep", "first_id", "digest", "copies", "keys").join(clusters, F.col("rep") == F.col("node")).select("rep", "first_id", "digest", "copies", "keys", F.col("component").alias("comp")), "members")
+    members = cut(reps.join(clusters, F.col("rep") == F.col("node")).select("rep", "first_id", "digest", "copies", "size", "keys", F.col("component").alias("comp")), "members")
     total = members.count()
-    sizes = cut(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    members = join_groups(members, sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "comp", "n", total)
-    units = _by_groups(members, sizes.filter(F.col("n") > block), block, trees * total)
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+    sizes = cut(sizes.select("comp", "n", _blocks(block, hashes)), "sizes")
+    members = join_groups(members, sizes, "comp", "n", total)
+    units = _by_groups(members, sizes.filter("blocks > 1"), block, hashes, trees * total)
     whole = F.array(F.struct(F.lit(-1).alias("tree"), F.col("comp").alias("grp"), "blocks"))
     members = members.join(units, "rep", "left").withColumn("units", F.coalesce("units", whole))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -274,7 +283,7 @@ def near_duplicates(
     classes = cut(reps.groupBy("root").agg(top.alias("top"), F.count(F.lit(1)).alias("texts")), "classes")
     classes = classes.select("root", F.col("top.rep").alias("class_rep"), F.col("top.first_id").alias("class_id"), "texts")
     reps = cut(join_groups(reps, classes, "root", "texts", reps.count()), "reps-classed")
-    out = join_groups(rows.drop("keys"), reps, "digest", "copies", rows.count())
+    out = join_groups(rows.drop("keys", "size"), reps, "digest", "copies", rows.count())
     return out.select(
         "doc_id",
         "text_key",

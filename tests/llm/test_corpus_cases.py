@@ -84,7 +84,8 @@ def test_near_join(odd, none):
     assert out.columns == odd.columns and out.count() == 7
 
 
-def test_near_join_of_a_chain_by_prefix_groups(spark, monkeypatch):
+@pytest.mark.parametrize("size", [{"block": 8}, {"hashes": 300}])
+def test_near_join_of_a_chain_by_prefix_groups(spark, monkeypatch, size):
     """A long chain is compared by its prefix groups, a true group whole; both as brute force has it."""
     rng = np.random.default_rng(5)
     words = [f"w{x}" for x in rng.integers(0, 10**6, 1000)]
@@ -93,7 +94,7 @@ def test_near_join_of_a_chain_by_prefix_groups(spark, monkeypatch):
     texts += [" ".join([*base, f"end{i}"]) for i in range(40)]
     used = []
     monkeypatch.setattr(near_join, "_by_groups", lambda *a, f=near_join._by_groups: (used.append(f(*a)), used[-1])[1])
-    got = near_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=8).toPandas().set_index("doc_id")
+    got = near_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **size).toPandas().set_index("doc_id")
     assert 200 < used[0].count() <= 250
     sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in map(str.split, texts)]
     like = [[j for j in range(290) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(290)]
