@@ -21,40 +21,55 @@ def complete_participants(df: DataFrame, condition: str = "condition", participa
     return df.join(ok, participant, "left_semi")
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 200, tol: float = 1e-4, seed: int = 0) -> np.ndarray:
-    """Weights and bias of a binary linear C-SVC (labels +-1), by dual coordinate descent."""
+def svms(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 200, tol: float = 1e-4, seed: int = 0) -> np.ndarray:
+    """Weights and bias of binary linear C-SVCs (labels +-1), by dual coordinate descent.
+
+    One problem per line of `rows` (row numbers of x) and y; all have as many rows
+    and visit them in the same order, so a step is one product for all of them.
+    """
     rng = np.random.default_rng(seed)
     xb = np.hstack([x, np.ones((len(x), 1))])
-    norm, a, w = (xb**2).sum(axis=1), np.zeros(len(x)), np.zeros(xb.shape[1])
+    rows, y = np.ascontiguousarray(rows.T), np.ascontiguousarray(y.T, dtype=float)
+    norm, a, w = (xb**2).sum(axis=1)[rows], np.zeros(rows.shape), np.zeros((rows.shape[1], xb.shape[1]))
+    out, left = np.zeros_like(w), np.arange(len(w))
     for _ in range(rounds):
-        worst = 0.0
-        for i in rng.permutation(len(x)):
-            g = y[i] * (xb[i] @ w) - 1
-            pg = min(g, 0) if a[i] <= 0 else max(g, 0) if a[i] >= cost else g
-            worst = max(worst, abs(pg))
-            if pg:
-                new = min(max(a[i] - g / norm[i], 0), cost)
-                w += (new - a[i]) * y[i] * xb[i]
-                a[i] = new
-        if worst < tol:
+        g, before = np.empty_like(a), a.copy()
+        for i in rng.permutation(len(rows)):
+            z = xb.take(rows[i], axis=0)
+            g[i] = y[i] * np.einsum("pd,pd->p", z, w) - 1
+            a[i] = np.minimum(np.maximum(a[i] - g[i] / norm[i], 0), cost)
+            w += ((a[i] - before[i]) * y[i])[:, None] * z
+        worst = np.abs(np.where(before <= 0, np.minimum(g, 0), np.where(before >= cost, np.maximum(g, 0), g))).max(axis=0, initial=0)
+        out[left], on = w, worst >= tol
+        if not on.any():
             break
-    return w
-
-
-def classify(train: np.ndarray, labels: np.ndarray, test: np.ndarray, cost: float = 1.0) -> np.ndarray:
-    """One-versus-one votes over standardised features; the lower class wins ties."""
-    mean, sd = train.mean(axis=0), train.std(axis=0, ddof=1)
-    sd[sd == 0] = 1
-    train, test = (train - mean) / sd, (test - mean) / sd
-    classes = np.unique(labels)
-    votes = np.zeros((len(test), len(classes)))
-    for i, j in combinations(range(len(classes)), 2):
-        at = (labels == classes[i]) | (labels == classes[j])
-        w = svm(train[at], np.where(labels[at] == classes[i], 1.0, -1.0), cost)
-        first = test @ w[:-1] + w[-1] >= 0
-        votes[first, i] += 1
-        votes[~first, j] += 1
-    return classes[votes.argmax(axis=1)]
+        if not on.all():
+            rows, y, norm, a = (np.ascontiguousarray(v[:, on]) for v in (rows, y, norm, a))
+            w, left = w[on], left[on]
+    return out
+
+
+def classify(folds: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], cost: float = 1.0) -> list[np.ndarray]:
+    """Classes of each fold's (train, labels, test) by one-versus-one votes over standardised features; the lower class wins ties."""
+    xs, tests, votes, problems, at = [], [], [], {}, 0
+    for f, (train, labels, test) in enumerate(folds):
+        mean, sd = train.mean(axis=0), train.std(axis=0, ddof=1)
+        sd[sd == 0] = 1
+        xs.append((train - mean) / sd)
+        tests.append((test - mean) / sd)
+        classes = np.unique(labels)
+        votes.append((classes, np.zeros((len(test), len(classes)))))
+        for i, j in combinations(range(len(classes)), 2):
+            rows = np.flatnonzero((labels == classes[i]) | (labels == classes[j]))
+            problems.setdefault(len(rows), []).append((f, i, j, rows + at, np.where(labels[rows] == classes[i], 1.0, -1.0)))
+        at += len(train)
+    for same in problems.values():
+        found = svms(np.vstack(xs), np.stack([p[3] for p in same]), np.stack([p[4] for p in same]), cost)
+        for (f, i, j, *_), w in zip(same, found, strict=True):
+            first = tests[f] @ w[:-1] + w[-1] >= 0
+            votes[f][1][first, i] += 1
+            votes[f][1][~first, j] += 1
+    return [classes[v.argmax(axis=1)] for classes, v in votes]
 
 
 def decode(
@@ -72,42 +87,58 @@ def decode(
     """Per key: accuracy, its standard error over iterations, chance, and the confusion matrix (rows: true class, shares).
 
     Every iteration shuffles trials, equalises their numbers, and makes folds of
-    n // k trials per class; the rest always train.
+    n // k trials per class; the rest always train. A key's iterations are shared
+    out over up to 20 tasks, each of which gets the key's trials.
     """
     ship(df)
     names, keys = list(names), list(keys)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    out = ", ".join(f"{k} {types[k]}" for k in keys) + ", accuracy double, stderror double, chance double, confusion array<array<double>>"
+    head = "".join(f"{k} {types[k]}, " for k in keys)
+    parts = max(1, min(20, n_iterations))
 
     def run(key, table):
         import pyarrow as pa
 
+        part = key[-1].as_py()
         table = table.sort_by([(condition, "ascending"), (epoch, "ascending")])
         x = np.column_stack([table.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
         classes, y = np.unique(np.array(table.column(condition).to_pylist()), return_inverse=True)
         rng, k = np.random.default_rng(seed), len(classes)
         scores, confusion = [], np.zeros((k, k))
         least = min((y == c).sum() for c in range(k))
-        for _ in range(n_iterations):
+        for turn in range(n_iterations):
             groups = [rng.permutation(np.flatnonzero(y == c)) for c in range(k)]
+            if turn % parts != part:
+                continue
             groups = [g[:least] if equalise else g for g in groups]
-            right = total = 0
+            folds = []
             for f in range(n_folds):
                 test = np.concatenate([g[f * (len(g) // n_folds) : (f + 1) * (len(g) // n_folds)] for g in groups])
                 train = np.setdiff1d(np.concatenate(groups), test)
-                if not len(test) or not len(train):
-                    continue
-                got = classify(x[train], y[train], x[test], cost)
+                if len(test) and len(train):
+                    folds.append((train, test))
+            right = total = 0
+            for (_, test), got in zip(folds, classify([(x[train], y[train], x[test]) for train, test in folds], cost), strict=True):
                 right += int((got == y[test]).sum())
                 total += len(test)
                 np.add.at(confusion, (y[test], got), 1)
             scores.append(right / total if total else float("nan"))
+        cols = {n: pa.array([v.as_py()], v.type) for n, v in zip(keys, key, strict=False)}
+        return pa.table(cols | {"scores": pa.array([scores], pa.list_(pa.float64())), "counts": pa.array([confusion.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    def gather(key, table):
+        import pyarrow as pa
+
+        scores, confusion = [s for part in table.column("scores").to_pylist() for s in part], np.sum([np.array(c) for c in table.column("counts").to_pylist()], axis=0)
         share = confusion / np.maximum(confusion.sum(axis=1, keepdims=True), 1)
         se = float(np.std(scores, ddof=1) / np.sqrt(len(scores))) if len(scores) > 1 else 0.0
         cols = {n: pa.array([v.as_py()], v.type) for n, v in zip(keys, key, strict=True)}
-        return pa.table(cols | {"accuracy": [float(np.mean(scores))], "stderror": [se], "chance": [1.0 / k], "confusion": pa.array([share.tolist()], pa.list_(pa.list_(pa.float64())))})
+        return pa.table(cols | {"accuracy": [float(np.mean(scores))], "stderror": [se], "chance": [1.0 / len(share)], "confusion": pa.array([share.tolist()], pa.list_(pa.list_(pa.float64())))})
 
-    return df.select(*dict.fromkeys([*keys, condition, epoch, *names])).groupBy(*keys).applyInArrow(run, out)
+    rows = df.select(*dict.fromkeys([*keys, condition, epoch, *names]))
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, "_part")
+    done = rows.groupBy(*keys, "_part").applyInArrow(run, head + "scores array<double>, counts array<array<double>>")
+    return done.groupBy(*keys).applyInArrow(gather, head + "accuracy double, stderror double, chance double, confusion array<array<double>>")
 
 
 def confusion_matrix(df: DataFrame, truth: str = "condition", predicted: str = "predicted") -> DataFrame:

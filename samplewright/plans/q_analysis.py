@@ -328,9 +328,9 @@ def ica_clean(spark, d):
 
 @query()
 def decoding(spark, d):
-    rows = views.patterns(spark, d).filter("condition < 3").withColumn("half", F.col("epoch") % 2)
+    rows = views.patterns(spark, d).withColumn("half", F.col("epoch") % 2)
     wide = rows.select("half", "condition", "epoch", *[F.element_at("pattern", k + 1).alias(f"x{k}") for k in range(views.WIDTH)])
-    return rounded(decode.decode(wide, [f"x{k}" for k in range(views.WIDTH)], ["half"], n_iterations=2), "accuracy", "stderror")
+    return rounded(decode.decode(wide, [f"x{k}" for k in range(views.WIDTH)], ["half"]), "accuracy", "stderror")
 
 
 @query(

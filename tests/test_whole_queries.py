@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from oracle import connect
 
+from samplewright.operators import decode
 from samplewright.plans import catalog
 
 
@@ -19,3 +20,43 @@ def test_resample_times_reads_every_trial(spark, sf_dir, con):
     want = {(i, t): x for i, v in vectors.items() for t, x in zip(at, np.interp(at, np.arange(64) / 64, v), strict=True)}
     assert max(vectors) >= 50 and got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 2e-6
+
+
+def test_decoding_reads_every_condition_in_every_iteration(spark, sf_dir, con):
+    got = {r["half"]: r for r in catalog.QUERIES["decoding"](spark, sf_dir).collect()}
+    least = dict(con.sql("SELECT half, min(n) FROM (SELECT vec_id % 2 AS half, label, count(*) AS n FROM embeddings GROUP BY ALL) GROUP BY half").fetchall())
+    assert got.keys() == least.keys()
+    for half, r in got.items():
+        assert r["chance"] == 0.1 and np.shape(r["confusion"]) == (10, 10) and np.allclose(np.sum(r["confusion"], axis=1), 1)
+        tested = 100 * 3 * (least[half] // 3)  # of each condition: iterations x folds x trials
+        counts = np.array(r["confusion"]) * tested
+        assert np.abs(counts - counts.round()).max() < 1e-6 and abs(np.trace(counts) / counts.sum() - r["accuracy"]) < 1e-6
+        fewer = np.array(r["confusion"]) * tested / 50
+        assert np.abs(fewer - fewer.round()).max() > 0.01
+
+
+def one_svm(x, y, cost=1.0):
+    """One problem, one trial at a time."""
+    rng, xb = np.random.default_rng(0), np.hstack([x, np.ones((len(x), 1))])
+    a, w = np.zeros(len(x)), np.zeros(xb.shape[1])
+    for _ in range(200):
+        worst = 0.0
+        for i in rng.permutation(len(x)):
+            g = y[i] * (xb[i] @ w) - 1
+            worst = max(worst, abs(min(g, 0) if a[i] <= 0 else max(g, 0) if a[i] >= cost else g))
+            new = min(max(a[i] - g / (xb[i] @ xb[i]), 0), cost)
+            w, a[i] = w + (new - a[i]) * y[i] * xb[i], new
+        if worst < 1e-4:
+            break
+    return w
+
+
+def test_problems_solved_together_are_as_alone():
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(size=(60, 4)), np.arange(60) % 3
+    x[:, 0] += 3 * (label == 1)  # some problems end sooner
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    rows = [np.flatnonzero((label == i) | (label == j)) for i, j in pairs]
+    y = [np.where(label[r] == i, 1.0, -1.0) for r, (i, _) in zip(rows, pairs, strict=True)]
+    got = decode.svms(x, np.stack(rows), np.stack(y))
+    assert np.allclose(got, [one_svm(x[r], s) for r, s in zip(rows, y, strict=True)], atol=1e-9)
