@@ -14,7 +14,7 @@ from samplewright.llm.common import read_table, shared_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: no text, or no letter in it."""
+    """Drops documents whose language cannot be told: no letter in the text, or a score under langid.MIN_SCORE."""
     return langid.known_language(docs)
 
 
