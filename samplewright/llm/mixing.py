@@ -119,6 +119,11 @@ def plan_mix(
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", position.alias("position"), "rank", "order_key")
 
 
+def in_order(rows: DataFrame, *by: str | Column) -> DataFrame:
+    """rows range-sorted by training position, and by what breaks its ties."""
+    return rows.repartitionByRange(spread(rows.sparkSession), *by).sortWithinPartitions(*by)
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **kw) -> DataFrame:
     """docs as the mix takes them, range-sorted by training position; same columns.
 
@@ -145,4 +150,4 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     for i, knots in reversed(list(enumerate(schedules))):
         position = F.when(F.col("_p.rank") % len(schedules) == i, _invert(share, knots)).otherwise(position)
     out = out.withColumn("_position", position)
-    return out.repartitionByRange(spread(docs.sparkSession), "_position").sortWithinPartitions("_position").select(*[docs[c] for c in docs.columns])
+    return in_order(out, "_position").select(*[docs[c] for c in docs.columns])

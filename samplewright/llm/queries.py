@@ -19,7 +19,9 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(read_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    # A document that starts at or after its source's last word has no copy, so no position: it comes last.
+    plan = plan.withColumn("position", F.when(F.col("start") < F.floor("target"), F.col("position")))
+    return mixing.in_order(plan, F.col("position").asc_nulls_last(), "start").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Corpus operators doing their whole job, against hand-made cases and brute force."""
 
+import hashlib
+
+import numpy as np
 import pytest
+from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from samplewright.llm import langid
+from samplewright.llm import langid, mixing, oracles, queries
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +30,25 @@ def test_without_labels_a_letter_is_enough(documents):
     got = langid.known_language(bare)
     assert got.columns == bare.columns
     assert {r[0] for r in got.select("doc_id").collect()} == {r["doc_id"] for r in documents.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
+def test_mixing_gives_each_document_its_training_position(spark, sf_dir):
+    got = queries.op3_mixing(spark, sf_dir)
+    assert compare(got.drop("position"), connect(sf_dir), oracles.ORACLES["op3_mixing"]) == ""
+    source = dict(connect(sf_dir).sql("SELECT doc_id, source FROM documents").fetchall())
+    rows, names = got.toPandas(), sorted(set(source.values()))
+    at = rows.position.dropna()
+    assert at.is_monotonic_increasing and len(at) > len(rows) / 2 and rows.position[len(at) :].isna().all()
+    assert rows.position[rows.taken > 0].notna().all()
+    rows["source"] = rows.doc_id.map(source)
+    rows["key"] = [hashlib.md5(f"mix:{i}".encode()).hexdigest() for i in rows.doc_id]
+    for rank, name in enumerate(names):
+        own = rows[rows.source == name].sort_values(["key", "doc_id", "size"])
+        start = own["size"].cumsum() - own["size"]
+        share = start / own.target
+        assert (own.position.isna() == (start >= np.floor(own.target))).all()
+        fine = np.linspace(0, 1, 20001)
+        t, weight = zip(*(mixing.FADE_OUT, mixing.FADE_IN, mixing.FADE_IN)[rank % 3], strict=True)
+        w = np.interp(fine, t, weight)
+        done = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(fine))])
+        assert np.abs(np.interp(share, done / done[-1], fine) - own.position)[own.position.notna()].max() < 1e-3
