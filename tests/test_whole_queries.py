@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from oracle import connect
 
-from samplewright.operators import decode
+from samplewright.operators import decode, ica
 from samplewright.plans import catalog
 
 
@@ -60,3 +60,20 @@ def test_problems_solved_together_are_as_alone():
     y = [np.where(label[r] == i, 1.0, -1.0) for r, (i, _) in zip(rows, pairs, strict=True)]
     got = decode.svms(x, np.stack(rows), np.stack(y))
     assert np.allclose(got, [one_svm(x[r], s) for r, s in zip(rows, y, strict=True)], atol=1e-9)
+
+
+def test_ica_is_fitted_on_all_samples_with_default_steps(spark, sf_dir, con, monkeypatch):
+    seen = []
+
+    def fit(x, *a, f=ica.infomax, **kw):
+        seen.append((x, kw, f(x, *a, **kw)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(ica, "infomax", fit)
+    got = catalog.QUERIES["ica_clean"](spark, sf_dir).toPandas()
+    (x, options, (unmixing, mixing, mean, *_)) = seen[0]
+    n = con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    assert len(x) == len(got) == min(n, 200_000) and "steps" not in options
+    clean = x - (x - mean) @ (mixing[:, :1] @ unmixing[:1]).T
+    order = lambda v: np.sort(np.round(v, 3), axis=0)
+    assert np.abs(order(clean) - order(got[["Q", "p", "D", "T"]].to_numpy())).max() < 2e-3
