@@ -40,11 +40,35 @@ class DigestIndex:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         self.exists = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
         if self.exists:
+            self.buckets = self._stored() or self.buckets
             spark.sql(
                 f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
             )
 
+    def _count_file(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_buckets")  # readers skip names with an underscore
+
+    def _stored(self) -> int | None:
+        """The bucket count the index was written with."""
+        at = self._count_file()
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return None
+        file = fs.open(at)
+        try:
+            return file.readInt()
+        finally:
+            file.close()
+
+    def _store(self) -> None:
+        at = self._count_file()
+        file = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True)
+        try:
+            file.writeInt(self.buckets)
+        finally:
+            file.close()
+
     def read(self) -> DataFrame | None:
         return self.spark.table(self.table) if self.exists else None
 
@@ -62,6 +86,7 @@ class DigestIndex:
             writer.mode("append").saveAsTable(self.table)
         else:
             writer.option("path", self.path).saveAsTable(self.table)
+            self._store()
             self.exists = True
         self.spark.catalog.refreshTable(self.table)
 

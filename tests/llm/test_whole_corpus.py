@@ -7,7 +7,7 @@ import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from samplewright.llm import langid, mixing, oracles, queries
+from samplewright.llm import exact_dedup, langid, mixing, oracles, queries
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,12 @@ def test_mixing_gives_each_document_its_training_position(spark, sf_dir):
         w = np.interp(fine, t, weight)
         done = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(fine))])
         assert np.abs(np.interp(share, done / done[-1], fine) - own.position)[own.position.notna()].max() < 1e-3
+
+
+def test_an_index_keeps_its_bucket_count(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    one = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    assert exact_dedup.decide(one, exact_dedup.DigestIndex(spark, path, 4)).filter("kept").count() == 200
+    index = exact_dedup.DigestIndex(spark, path, 7)
+    assert index.buckets == 4
+    assert exact_dedup.decide(one, index).filter("kept").count() == 0 and index.read().count() == 200
