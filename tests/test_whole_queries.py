@@ -77,3 +77,11 @@ def test_ica_is_fitted_on_all_samples_with_default_steps(spark, sf_dir, con, mon
     clean = x - (x - mean) @ (mixing[:, :1] @ unmixing[:1]).T
     order = lambda v: np.sort(np.round(v, 3), axis=0)
     assert np.abs(order(clean) - order(got[["Q", "p", "D", "T"]].to_numpy())).max() < 2e-3
+
+
+@pytest.mark.parametrize("name", ["head", "tail"])
+def test_ends_are_of_all_participants(spark, sf_dir, con, name):
+    n = con.sql("SELECT user_id, count(*) FROM events GROUP BY ALL").fetchall()
+    every = sorted((p, k) for p, m in n for k in range(1, m + 1))
+    got = [(r["participant"], r["sample"]) for r in catalog.QUERIES[name](spark, sf_dir).collect()]
+    assert sorted(got) == (every[:5] if name == "head" else every[-5:])
