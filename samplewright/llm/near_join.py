@@ -2,46 +2,61 @@
 
 Texts are lower-cased and split at white space; a text is the set of its runs of
 `words` words (all its words, if fewer). Texts with equal sets are one class and
-go on as one representative. Each representative has `trees` MinHash signatures
-of `depth` values, one per prefix tree. Starting at full depth, the matched
-prefix is shortened until the chance that a pair at the threshold shares a prefix
-in some tree reaches `recall`; a pair that shares a longer prefix shares the
-shorter one, so only the last length is grouped. Representatives that share a
-prefix are linked along their groups, the links' connected components hold every
-candidate pair, and each component is compared exactly: members are dealt to
-blocks, and every pair of blocks is one unit of work that computes set
-intersections as matrix products and returns one row per member. No pairs are
-emitted and no group, however large, meets in one task.
+go on as one representative. Each representative has a MinHash signature of
+`depth` values in each of `trees` prefix tries. A signature is one sortable number,
+the leading bits of which are its prefixes, so a trie is the signatures in order and
+a node of it (the texts that share a prefix) is a run of them.
+
+All tries are sorted at once, by ranges of (tree, signature, text), which no crowded
+prefix can make uneven; texts without company at the shortest prefix leave there.
+Then matched prefixes are shortened: every text starts at full depth in every tree
+and shortens one prefix by one value at a time, the longest first, until the chance
+that it meets a text at the threshold, 1 - product over trees of
+(1 - threshold^length), reaches `recall`. Prefixes whose next node is crowded (over
+`block` texts) come last, by its size: in a crowded place (a passage that unlike
+texts share) the other trees are shortened further instead. A node that any member
+has come to is open and links all its members, so a pair is met with the chance that
+either of the two has reached.
+
+The links' connected components hold every candidate pair, and each component is
+compared exactly: members are dealt to blocks, and every pair of blocks is one unit
+of work that computes set intersections as matrix products and returns one row per
+member. No pairs are emitted and no group, however large, meets in one task.
 
 A block holds up to `block` texts and about `hashes` hashes, so tasks are bounded
-for long texts too. A component of more than one block is compared whole or by its prefix groups,
-whichever takes fewer comparisons: n * n, or the sum of squares of the groups of
-all trees. Unlike texts that only chain (shared passages) thus cost what their
-groups cost, and true groups of near copies are not compared once per tree. By
-groups, a pair counts in the first tree whose prefix it shares.
+for long texts too. A component of more than one block is compared whole or by its
+open nodes, whichever takes fewer comparisons: n * n, or the sum of squares of the
+nodes. Unlike texts that only chain (shared passages) thus cost what their
+nodes cost, and true groups of near copies are not compared once per tree. By
+nodes, a pair counts in the first tree in which it shares one.
 
 Cases: null text counts as empty; empty texts are one class of copies; texts of
 fewer words than `words` match only texts with the same words in order; repeated
-rows count as copies; an empty table gives no rows; other columns are ignored.
+rows count as copies; an empty table gives no rows; other columns, with any names,
+are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups, map_arrow
+from .common import cut, map_arrow, spread
 from .components import components
 
 #: Members of a block, and hashes in their sets; a task compares at most two blocks, or two texts that hold more.
-BLOCK = 256
+BLOCK = 128
 HASHES = 1 << 19
 #: Texts whose sets are returned to Spark at once.
 SLICE = 512
-#: Groups of a shared prefix are linked in so many parts first, so that a prefix all texts share is no hot key.
-SALTS = 16
-#: What a row is compared in: a whole component (tree -1) or a prefix group of a tree, dealt to `blocks`.
+#: Shortest prefix, and the bits of a signature's number for each value after it. Other values that share such a
+#: number by chance only add candidates.
+SHORT, BITS = 3, 6
+#: What a row is compared in: a whole component (tree -1) or an open node of a tree, dealt to `blocks`.
 _UNITS = "array<struct<tree: int, grp: bigint, blocks: int>>"
 _FEATURES = "doc_id long, text_key long, row long, digest binary, size long, keys array<long>"
 
@@ -79,39 +94,62 @@ class Shingler:
         return np.unique(acc)
 
 
-def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """Shorten from full depth until a pair at the threshold is found with chance `recall`."""
-    for k in range(depth, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
-    return 1
-
+def shorten(counts: dict[int, list[int]], trees: int, depth: int, threshold: float, recall: float, crowd: int) -> list[int]:
+    """Prefix length in each tree for one text.
 
-def _signer(trees: int, k: int, seed: int = 1):
+    counts: tree -> texts in its nodes of length SHORT, SHORT + 1, ... depth, itself
+    included; a text is alone in the trees left out. Nodes of up to `crowd` texts are
+    alike, so that whom a text meets by chance has no say in how far it looks.
+    """
+    gain = [-math.log1p(-min(threshold**n, 1 - 1e-12)) for n in range(depth + 1)]
+    wanted = -math.log1p(-recall) if recall < 1 else math.inf
+    lengths, have = [depth] * trees, gain[depth] * trees
+    crowded = lambda t, n: (counts[t][n - SHORT] // (crowd + 1)).bit_length() if t in counts else 0
+    steps = [(crowded(t, depth - 1), 1 - depth, t) for t in range(trees) if depth > SHORT]
+    heapq.heapify(steps)
+    while steps and have < wanted:
+        t = heapq.heappop(steps)[2]
+        lengths[t] -= 1
+        have += gain[lengths[t]] - gain[lengths[t] + 1]
+        if lengths[t] > SHORT:
+            heapq.heappush(steps, (crowded(t, lengths[t] - 1), 1 - lengths[t], t))
+    return lengths
+
+
+def _signer(trees: int, depth: int, seed: int = 1):
+    """Sets of hashes -> one number per tree: the hash of the first SHORT minima, then BITS of each other one's."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**63, trees * k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, trees * k, dtype=np.uint64)
-    tree = np.arange(trees, dtype=np.uint64)
+    a = rng.integers(0, 2**31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 2**32, trees * depth, dtype=np.uint32)
+    tree, work = np.arange(trees, dtype=np.uint64), np.empty((1024, trees * depth), dtype=np.uint32)
 
     def keys(h: np.ndarray) -> np.ndarray:
-        least = np.full(trees * k, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(0, len(h), 2048):
-            least = np.minimum(least, (h[at : at + 2048, None] * a + b).min(axis=0))
-        out = _mix(tree + np.uint64(1))
-        for column in least.reshape(trees, k).T:
+        least = np.full(trees * depth, np.iinfo(np.uint32).max, dtype=np.uint32)
+        h = (h >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(h), len(work)):
+            part = work[: len(h) - at]
+            np.multiply(h[at : at + len(work), None], a, out=part)
+            part += b
+            np.minimum(least, part.min(axis=0), out=least)
+        columns = least.reshape(trees, depth).T.astype(np.uint64)
+        out, rest = _mix(tree + np.uint64(1)), BITS * (depth - SHORT)
+        for column in columns[:SHORT]:
             out = _mix(out ^ _mix(column))
+        out = out >> np.uint64(rest)
+        for column in columns[SHORT:]:
+            out = out << np.uint64(BITS) | _mix(column + tree) >> np.uint64(64 - BITS)
         return out.view(np.int64)
 
     return keys
 
 
-def _features(docs: DataFrame, text: str, doc_id: str, words: int, trees: int, k: int) -> DataFrame:
+def _features(docs: DataFrame, text: str, doc_id: str, words: int, trees: int, depth: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         import xxhash
         from pyspark import TaskContext
 
-        shingle, keys, row = Shingler(words), _signer(trees, k), TaskContext.get().partitionId() << 33
+        shingle, keys, row = Shingler(words), _signer(trees, depth), TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
             for value in batch.column(2):
@@ -128,7 +166,7 @@ def _features(docs: DataFrame, text: str, doc_id: str, words: int, trees: int, k
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """rep, text, digest, ... -> rep, ..., hashes: sets of rows whose text has the wanted digest."""
-    schema = f"rep long, copies long, keys array<long>, units {_UNITS}, hashes binary"
+    schema = f"rep long, copies long, nodes array<long>, units {_UNITS}, hashes binary"
 
     def run(batches):
         import pyarrow as pa
@@ -143,9 +181,9 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                     keep.append(i)
                     sets.append(h)
             cols = [batch.column(i).take(pa.array(keep, pa.int64())) for i in range(2, 6)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], ["rep", "copies", "keys", "units", "hashes"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], ["rep", "copies", "nodes", "units", "hashes"])
 
-    return map_arrow(texts.select("text", "digest", "rep", "copies", "keys", "units"), run, schema)
+    return map_arrow(texts.select("text", "digest", "rep", "copies", "nodes", "units"), run, schema)
 
 
 def overlaps(sets: list[np.ndarray], dense_from: int = 24, width: int = 4096) -> np.ndarray:
@@ -196,10 +234,10 @@ def _compare(threshold: float):
         link = similar([np.frombuffer(hashes[int(p)].as_buffer(), dtype=np.uint64) for p in first], threshold)
         if i != j:
             link &= block[:, None] != block[None, :]
-        if tree > 0:  # pairs of an earlier tree are counted there
-            keys = np.stack(table.column("keys").to_numpy()[first])
+        if tree > 0:  # pairs that share a node of an earlier tree are counted there
+            nodes = np.stack(table.column("nodes").to_numpy()[first])
             for t in range(tree):
-                link &= keys[:, None, t] != keys[None, :, t]
+                link &= (nodes[:, None, t] != nodes[None, :, t]) | (nodes[:, None, t] == 0)
         root = np.arange(len(rep))
         while True:  # least linked row, until it settles
             best = np.minimum(root, np.where(link, root[None, :], len(rep)).min(axis=1))
@@ -217,15 +255,81 @@ def _blocks(block: int, hashes: int) -> Column:
     return F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("weight") / hashes))).cast("int").alias("blocks")
 
 
-def _by_groups(members: DataFrame, large: DataFrame, block: int, hashes: int, total: int) -> DataFrame:
-    """(rep, units): the prefix groups of members of those components of several blocks (comp, n) that they make cheaper."""
-    shared = members.filter("blocks > 1").select("rep", "comp", "size", F.posexplode("keys").alias("tree", "grp"))
-    groups = cut(shared.groupBy("comp", "tree", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).filter("n > 1"), "groups")
-    cost = groups.groupBy("comp").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
-    cheaper = large.join(cost, "comp").filter(F.col("cost") < F.col("n").cast("double") * F.col("n")).select("comp")
-    groups = cut(groups.join(cheaper, "comp").select("grp", _blocks(block, hashes), "n"), "group-blocks")
-    rows = join_groups(shared.select("rep", "tree", "grp"), groups, "grp", "n", total)
-    return rows.groupBy("rep").agg(F.collect_list(F.struct("tree", "grp", "blocks")).alias("units"))
+def _matched(reps: DataFrame, depth: int) -> DataFrame:
+    """(rep, tree, key) in the order of the tries, without the rows that share no prefix with another row.
+
+    Partitions are ranges of (tree, key, rep). The first and last node of each may
+    go on in the next one, so their rows stay whether or not they have company here.
+    """
+    shift = np.uint64(BITS * (depth - SHORT))
+    rows = reps.select("rep", F.posexplode("keys").alias("tree", "key"))
+    by = ("tree", F.shiftrightunsigned("key", 1), "key", "rep")  # numbers as unsigned ones
+    rows = rows.repartitionByRange(spread(reps.sparkSession), *by).sortWithinPartitions(*by)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None  # rows of the last node so far: it may go on in the next batch
+        first = True
+        for batch in batches:
+            part = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            tree, key = part.column("tree").to_numpy(), part.column("key").to_numpy().view(np.uint64) >> shift
+            starts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (key[1:] != key[:-1])])) if len(tree) else np.zeros(0, int)
+            if not len(starts):
+                continue
+            sizes = np.diff(np.append(starts, len(tree)))
+            keep = sizes > 1
+            keep[0] |= first
+            keep[-1] = False
+            if len(starts) > 1:
+                first = False
+                yield from part.filter(pa.array(np.repeat(keep, sizes))).to_batches()
+            held = part.slice(int(starts[-1])).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield held
+
+    return cut(map_arrow(rows, run, rows.schema), "matched")
+
+
+def _open_nodes(matched: DataFrame, trees: int, depth: int, threshold: float, recall: float, crowd: int) -> DataFrame:
+    """(rep, tree, node): each text's shortest open node of each tree, if it shares it with another text. Nodes are negative numbers."""
+    levels = F.explode(F.sequence(F.lit(SHORT), F.lit(depth))).alias("len")
+    rows = matched.select("rep", "tree", "key", levels)
+    prefix = F.expr(f"shiftrightunsigned(key, {BITS} * ({depth} - len))")
+    rows = rows.select("rep", "tree", "len", (-1 - F.shiftrightunsigned(F.xxhash64("tree", "len", prefix), 1)).alias("node"))
+    shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = cut(rows.join(shared, "node"), "nodes")
+    texts = rows.groupBy("rep").agg(F.collect_list(F.struct("tree", "len", "node", "n")).alias("at"))  # at most trees * lengths entries
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for at in batch.column(0).to_pylist():
+                counts, names = {}, {}
+                for x in at:
+                    counts.setdefault(x["tree"], [1] * (depth - SHORT + 1))[x["len"] - SHORT] = x["n"]
+                    names[x["tree"], x["len"]] = x["node"]
+                found = shorten(counts, trees, depth, threshold, recall, crowd)
+                out += {names[at] for at in enumerate(found) if at in names}
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["node"])
+
+    opened = map_arrow(texts.select("at"), run, "node long").distinct()
+    return cut(rows.join(opened, "node", "left_semi").groupBy("rep", "tree").agg(F.min_by("node", "len").alias("node")), "open-nodes")
+
+
+def _by_nodes(members: DataFrame, nodes: DataFrame, trees: int, block: int, hashes: int) -> DataFrame:
+    """(rep, units, nodes): the open nodes of members of those components of several blocks that they make cheaper to compare."""
+    large = members.filter("blocks > 1").select("rep", "comp", "size", "n")
+    shared = nodes.join(large, "rep")
+    groups = cut(shared.groupBy("comp", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.first("n").alias("whole")).filter("n > 1"), "groups")
+    square = F.col("n").cast("double") * F.col("n")
+    cheaper = groups.groupBy("comp").agg(F.sum(square).alias("cost"), F.first("whole").cast("double").alias("whole")).filter("cost < whole * whole").select("comp")
+    units = shared.select("rep", "tree", "node").join(groups.join(cheaper, "comp").select("node", _blocks(block, hashes)), "node")
+    units = units.groupBy("rep").agg(F.collect_list(F.struct("tree", F.col("node").alias("grp"), "blocks")).alias("units"))
+    by_tree = F.map_from_entries(F.transform("units", lambda x: F.struct(x["tree"], x["grp"])))
+    return units.withColumn("nodes", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(by_tree[t], F.lit(0))))
 
 
 def near_duplicates(
@@ -246,30 +350,25 @@ def near_duplicates(
     copies_id: least doc_id among texts with the same n-grams; copies: their number.
     links: other documents at or above the threshold, copies included.
     kept: true for one row per component, one with doc_id = class_id.
+    Joins to a class or component are shuffle joins by its number, whose
+    partitions adaptive execution splits where one class is large.
     """
-    k = prefix_length(trees, depth, threshold, recall)
-    rows = cut(_features(docs, text, doc_id, words, trees, k), "features")
-    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "row", "doc_id", "size", "keys")
+    rows = cut(_features(docs, text, doc_id, words, trees, depth), "features")
+    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "row", "doc_id", "text_key", "size", "keys")
     reps = rows.groupBy("digest").agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("copies"))
-    reps = cut(reps.select("digest", "copies", F.col("top.row").alias("rep"), F.col("top.doc_id").alias("first_id"), "top.size", "top.keys"), "reps")
-
-    shared = reps.select("rep", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
-    shared = shared.withColumn("local", F.min("rep").over(Window.partitionBy("key", "salt")))
-    heads = shared.filter("rep = local").withColumn("least", F.min("rep").over(Window.partitionBy("key")))
-    shared = cut(shared.filter("rep <> local").select("rep", "local").unionByName(heads.filter("rep <> least").select("rep", F.col("least").alias("local"))).distinct(), "links")
-    clusters = components(shared)
+    reps = cut(reps.select("digest", "copies", F.col("top.row").alias("rep"), F.col("top.doc_id").alias("first_id"), "top.text_key", "top.size", "top.keys"), "reps")
 
-    members = cut(reps.join(clusters, F.col("rep") == F.col("node")).select("rep", "first_id", "digest", "copies", "size", "keys", F.col("component").alias("comp")), "members")
-    total = members.count()
+    nodes = _open_nodes(_matched(reps, depth), trees, depth, threshold, recall, block)
+    clusters = components(nodes.select("rep", "node")).filter("node >= 0")
+    members = reps.join(clusters, F.col("rep") == F.col("node")).select("rep", "first_id", "text_key", "digest", "copies", "size", F.col("component").alias("comp"))
+    members = cut(members, "members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
-    sizes = cut(sizes.select("comp", "n", _blocks(block, hashes)), "sizes")
-    members = join_groups(members, sizes, "comp", "n", total)
-    units = _by_groups(members, sizes.filter("blocks > 1"), block, hashes, trees * total)
+    members = cut(members.join(sizes.select("comp", "n", _blocks(block, hashes)), "comp"), "blocks")
     whole = F.array(F.struct(F.lit(-1).alias("tree"), F.col("comp").alias("grp"), "blocks"))
-    members = members.join(units, "rep", "left").withColumn("units", F.coalesce("units", whole))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = texts.join(members, texts["doc_id"].eqNullSafe(members["first_id"]))
-    units = _sets(texts, words).withColumn("unit", F.explode("units")).select("rep", "copies", "hashes", "unit.*", F.when(F.col("unit.tree") > 0, F.col("keys")).alias("keys"))
+    members = members.join(_by_nodes(members, nodes, trees, block, hashes), "rep", "left").withColumn("units", F.coalesce("units", whole))
+    texts = docs.select(F.col(doc_id).cast("long").alias("own_id"), F.col(text).alias("text")).withColumn("own_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = texts.join(members, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_key") == F.col("text_key")))
+    units = _sets(texts, words).select("rep", "copies", "hashes", "nodes", F.explode("units").alias("unit")).select("rep", "copies", "hashes", "nodes", "unit.*")
     units = units.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
@@ -280,10 +379,8 @@ def near_duplicates(
     reps = reps.select("digest", "copies", "rep", "first_id").join(counts, "rep", "left").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     reps = cut(reps.select("digest", "copies", "rep", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "root", "rep").alias("root")), "reps-done")
     top = F.min(F.struct(F.coalesce("first_id", F.lit(2**63 - 1)).alias("o"), "rep", "first_id"))
-    classes = cut(reps.groupBy("root").agg(top.alias("top"), F.count(F.lit(1)).alias("texts")), "classes")
-    classes = classes.select("root", F.col("top.rep").alias("class_rep"), F.col("top.first_id").alias("class_id"), "texts")
-    reps = cut(join_groups(reps, classes, "root", "texts", reps.count()), "reps-classed")
-    out = join_groups(rows.drop("keys", "size"), reps, "digest", "copies", rows.count())
+    classes = reps.groupBy("root").agg(top.alias("top")).select("root", F.col("top.rep").alias("class_rep"), F.col("top.first_id").alias("class_id"))
+    out = rows.select("doc_id", "text_key", "row", "digest").join(reps.join(classes, "root"), "digest")
     return out.select(
         "doc_id",
         "text_key",
@@ -297,9 +394,12 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **kw) -> DataFrame:
     """docs with one document of each class of near duplicates; same columns."""
-    kept = cut(near_duplicates(docs, text=text, doc_id=doc_id, **kw).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_k")), "kept")
-    tagged = docs.withColumn("_tk", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    out = tagged.join(kept, tagged[doc_id].eqNullSafe(kept["_id"]) & (tagged["_tk"] == kept["_k"]), "left_semi")
-    if docs.groupBy(doc_id).count().filter(F.col("count") > 1).limit(1).count():  # only then can one key stand for several rows
-        out = out.dropDuplicates([doc_id, "_tk"])
-    return out.select(*[docs[c] for c in docs.columns])
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    at = {c: k for k, c in names.items()}
+    kept = near_duplicates(docs, text=text, doc_id=doc_id, **kw).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    tagged = docs.toDF(*names).withColumn("own_key", F.xxhash64(F.coalesce(at[text], F.lit(""))))
+    same = F.col(at[doc_id]).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
+    out = tagged.join(cut(kept, "kept"), same, "left_semi")
+    if not docs.groupBy(doc_id).count().filter("count > 1").isEmpty():  # only then can one key stand for several rows
+        out = out.dropDuplicates([at[doc_id], "own_key"])
+    return out.select(*[F.col(k).alias(c) for k, c in names.items()])

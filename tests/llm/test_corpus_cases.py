@@ -85,15 +85,15 @@ def test_near_join(odd, none):
 
 
 @pytest.mark.parametrize("size", [{"block": 8}, {"hashes": 300}])
-def test_near_join_of_a_chain_by_prefix_groups(spark, monkeypatch, size):
-    """A long chain is compared by its prefix groups, a true group whole; both as brute force has it."""
+def test_near_join_of_a_chain_by_open_nodes(spark, monkeypatch, size):
+    """A long chain is compared by its open nodes, a true group whole; both as brute force has it."""
     rng = np.random.default_rng(5)
     words = [f"w{x}" for x in rng.integers(0, 10**6, 1000)]
     texts = [" ".join(words[3 * i : 3 * i + 40 + i % 3]) for i in range(250)]
     base = [f"v{x}" for x in rng.integers(0, 10**6, 60)]
     texts += [" ".join([*base, f"end{i}"]) for i in range(40)]
     used = []
-    monkeypatch.setattr(near_join, "_by_groups", lambda *a, f=near_join._by_groups: (used.append(f(*a)), used[-1])[1])
+    monkeypatch.setattr(near_join, "_by_nodes", lambda *a, f=near_join._by_nodes: (used.append(f(*a)), used[-1])[1])
     got = near_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **size).toPandas().set_index("doc_id")
     assert 200 < used[0].count() <= 250
     sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in map(str.split, texts)]
@@ -132,9 +132,54 @@ def test_overlaps_are_exact():
         assert (near_join.overlaps(sets, dense, 64) == want).all()
 
 
-def test_prefix_shortens_until_recall():
-    ks = [near_join.prefix_length(20, 6, 0.8, r) for r in (0.5, 0.99, 0.9999, 0.9999999)]
-    assert ks == sorted(ks, reverse=True) and ks[0] == 6 and 1 - (1 - 0.8 ** ks[2]) ** 20 >= 0.9999
+def test_prefixes_shorten_until_recall():
+    met = lambda lengths: 1 - np.prod([1 - 0.8**n for n in lengths])
+    before = None
+    for recall in (0.5, 0.99, 0.9999, 0.9999999):
+        lengths = near_join.shorten({}, 20, 6, 0.8, recall, 100)
+        assert max(lengths) - min(lengths) <= 1  # all trees together
+        assert met(lengths) >= recall or set(lengths) == {near_join.SHORT}
+        assert before is None or (np.array(lengths) <= before).all()
+        before = np.array(lengths)
+    # Whom a text meets has no say unless the place is crowded; then the other trees go further.
+    assert near_join.shorten({t: [40, 3, 2, 1] for t in range(9)}, 20, 6, 0.8, 0.9999, 100) == near_join.shorten({}, 20, 6, 0.8, 0.9999, 100)
+    lengths = near_join.shorten({t: [900, 900, 700, 300] for t in range(8)}, 20, 6, 0.8, 0.9999, 100)
+    assert set(lengths[:8]) == {6} and set(lengths[8:]) == {3, 4} and met(lengths) >= 0.9999
+
+
+def test_signatures_are_sortable_prefixes():
+    rng = np.random.default_rng(3)
+    keys, pairs = near_join._signer(200, 6), []
+    for _ in range(30):  # 400 of 500 hashes shared: similarity 0.8
+        h = near_join._mix(rng.integers(0, 2**63, 500).astype(np.uint64))
+        pairs.append([keys(h[:450]).view(np.uint64), keys(np.concatenate([h[:400], h[450:]])).view(np.uint64)])
+    a, b = (np.array([p[i] for p in pairs]) for i in (0, 1))
+    for n in (3, 4, 5, 6):
+        shift = np.uint64(near_join.BITS * (6 - n))
+        assert abs((a >> shift == b >> shift).mean() - 0.8**n) < 0.04
+
+
+@pytest.mark.parametrize("passage", [0, 300])
+def test_recall_at_the_threshold(spark, passage):
+    """Pairs at just 0.8, alone and in a crowd that shares a passage: the links that brute force has."""
+    rng = np.random.default_rng(passage)
+    common, rows = [f"p{x}" for x in range(passage)], []
+    for i in range(250):
+        own = [f"w{x}" for x in rng.integers(0, 10**7, 450)]
+        runs = len(common) + len(own) - 4
+        other = list(own)
+        # Both lose k runs of the union: (runs - k) / (runs + k) is just over 0.8.
+        k = int(runs / 9)
+        for at in range(k // 5):
+            other[10 * at % 440] = f"x{i}-{at}"
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + other))]
+    got = near_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (r[1].split() for r in rows)]
+    like = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(250)]
+    want = {i for i in range(250) if like[i] >= 0.8}
+    assert len(want) == 250 and max(like) < 0.84
+    found = {i for i in range(250) if got.links[2 * i] == 1 and got.class_id[2 * i] == got.class_id[2 * i + 1]}
+    assert found <= want and len(found) >= 0.996 * len(want)
 
 
 def test_components(spark):
