@@ -3,8 +3,9 @@
 Edges shrink to a star around the least node of each component in a number of
 rounds that grows with the logarithm of its size. Node lists never meet in one
 task or on the driver: a node's least neighbour comes from a partial aggregate,
-and the join that hands it out is an inner shuffle join, whose partitions adaptive
-execution splits when a hub (a node with a large part of all edges) makes one large.
+written as a table, and the join that hands it out is a shuffle join of two tables,
+whose partitions adaptive execution splits when a hub (a node with a large part of
+all edges) makes one large. (It splits no join that reads an aggregate directly.)
 
 Cases: edges with a null end and from a node to itself are ignored; repeated edges
 count once; no edges give no rows; nodes may be numbers or strings.
@@ -49,24 +50,21 @@ def _contract(edges: DataFrame) -> DataFrame:
     return map_arrow(edges, run, schema)
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(node, m): the least of each node and its neighbours."""
-    return edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("m"))
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) pairs -> (node, component): component is the least node; nodes without an edge are absent."""
     edges = edges.toDF("u", "v").filter("u is not null and v is not null and u <> v")
-    edges = cut(_contract(edges).distinct(), "edges")
+    edges = cut(_contract(edges).distinct(), "edges")  # u > v, here and below
     for _ in range(rounds):
+        down = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = edges.unionByName(down).groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("m"))
+        large = down.join(cut(least, "least"), F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.distinct(), "large")
+        least = cut(large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "least")
+        small = large.join(least, F.col("u") == F.col("node")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(least.toDF("u", "v")).distinct(), "edges")
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
         if ends.filter("up > 1 or up = 1 and least = 0").isEmpty():  # stars: each other node has one centre and is none
             centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), F.col("u") == F.col("node")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = _least(large)
-        small = large.join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
     raise RuntimeError("components did not settle")

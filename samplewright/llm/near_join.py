@@ -292,13 +292,13 @@ def _matched(reps: DataFrame, depth: int) -> DataFrame:
 
 
 def _open_nodes(matched: DataFrame, trees: int, depth: int, threshold: float, recall: float, crowd: int) -> DataFrame:
-    """(rep, tree, node): each text's shortest open node of each tree, if it shares it with another text. Nodes are negative numbers."""
+    """(rep, tree, node, head): each text's shortest open node of each tree, if it shares it with another text, and the node's least text."""
     levels = F.explode(F.sequence(F.lit(SHORT), F.lit(depth))).alias("len")
     rows = matched.select("rep", "tree", "key", levels)
     prefix = F.expr(f"shiftrightunsigned(key, {BITS} * ({depth} - len))")
-    rows = rows.select("rep", "tree", "len", (-1 - F.shiftrightunsigned(F.xxhash64("tree", "len", prefix), 1)).alias("node"))
-    shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = cut(rows.join(shared, "node"), "nodes")
+    rows = rows.select("rep", "tree", "len", F.xxhash64("tree", "len", prefix).alias("node"))
+    shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).filter("n > 1")
+    rows = cut(rows.join(cut(shared, "shared"), "node"), "nodes")
     texts = rows.groupBy("rep").agg(F.collect_list(F.struct("tree", "len", "node", "n")).alias("at"))  # at most trees * lengths entries
 
     def run(batches):
@@ -315,8 +315,9 @@ def _open_nodes(matched: DataFrame, trees: int, depth: int, threshold: float, re
                 out += {names[at] for at in enumerate(found) if at in names}
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["node"])
 
-    opened = map_arrow(texts.select("at"), run, "node long").distinct()
-    return cut(rows.join(opened, "node", "left_semi").groupBy("rep", "tree").agg(F.min_by("node", "len").alias("node")), "open-nodes")
+    opened = cut(map_arrow(texts.select("at"), run, "node long").distinct(), "opened")
+    rows = rows.join(opened, "node", "left_semi").groupBy("rep", "tree").agg(F.min(F.struct("len", "node", "head")).alias("top"))
+    return cut(rows.select("rep", "tree", "top.node", "top.head"), "open-nodes")
 
 
 def _by_nodes(members: DataFrame, nodes: DataFrame, trees: int, block: int, hashes: int) -> DataFrame:
@@ -326,7 +327,7 @@ def _by_nodes(members: DataFrame, nodes: DataFrame, trees: int, block: int, hash
     groups = cut(shared.groupBy("comp", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.first("n").alias("whole")).filter("n > 1"), "groups")
     square = F.col("n").cast("double") * F.col("n")
     cheaper = groups.groupBy("comp").agg(F.sum(square).alias("cost"), F.first("whole").cast("double").alias("whole")).filter("cost < whole * whole").select("comp")
-    units = shared.select("rep", "tree", "node").join(groups.join(cheaper, "comp").select("node", _blocks(block, hashes)), "node")
+    units = shared.select("rep", "tree", "node").join(cut(groups.join(cheaper, "comp").select("node", _blocks(block, hashes)), "node-blocks"), "node")
     units = units.groupBy("rep").agg(F.collect_list(F.struct("tree", F.col("node").alias("grp"), "blocks")).alias("units"))
     by_tree = F.map_from_entries(F.transform("units", lambda x: F.struct(x["tree"], x["grp"])))
     return units.withColumn("nodes", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(by_tree[t], F.lit(0))))
@@ -359,13 +360,13 @@ def near_duplicates(
     reps = cut(reps.select("digest", "copies", F.col("top.row").alias("rep"), F.col("top.doc_id").alias("first_id"), "top.text_key", "top.size", "top.keys"), "reps")
 
     nodes = _open_nodes(_matched(reps, depth), trees, depth, threshold, recall, block)
-    clusters = components(nodes.select("rep", "node")).filter("node >= 0")
+    clusters = components(nodes.select("rep", "head"))
     members = reps.join(clusters, F.col("rep") == F.col("node")).select("rep", "first_id", "text_key", "digest", "copies", "size", F.col("component").alias("comp"))
     members = cut(members, "members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
-    members = cut(members.join(sizes.select("comp", "n", _blocks(block, hashes)), "comp"), "blocks")
+    members = cut(members.join(cut(sizes.select("comp", "n", _blocks(block, hashes)), "sizes"), "comp"), "placed")
     whole = F.array(F.struct(F.lit(-1).alias("tree"), F.col("comp").alias("grp"), "blocks"))
-    members = members.join(_by_nodes(members, nodes, trees, block, hashes), "rep", "left").withColumn("units", F.coalesce("units", whole))
+    members = cut(members.join(_by_nodes(members, nodes, trees, block, hashes), "rep", "left").withColumn("units", F.coalesce("units", whole)), "units")
     texts = docs.select(F.col(doc_id).cast("long").alias("own_id"), F.col(text).alias("text")).withColumn("own_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = texts.join(members, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_key") == F.col("text_key")))
     units = _sets(texts, words).select("rep", "copies", "hashes", "nodes", F.explode("units").alias("unit")).select("rep", "copies", "hashes", "nodes", "unit.*")
@@ -380,7 +381,8 @@ def near_duplicates(
     reps = cut(reps.select("digest", "copies", "rep", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "root", "rep").alias("root")), "reps-done")
     top = F.min(F.struct(F.coalesce("first_id", F.lit(2**63 - 1)).alias("o"), "rep", "first_id"))
     classes = reps.groupBy("root").agg(top.alias("top")).select("root", F.col("top.rep").alias("class_rep"), F.col("top.first_id").alias("class_id"))
-    out = rows.select("doc_id", "text_key", "row", "digest").join(reps.join(classes, "root"), "digest")
+    reps = cut(reps.join(cut(classes, "classes"), "root"), "reps-classed")
+    out = rows.select("doc_id", "text_key", "row", "digest").join(reps, "digest")
     return out.select(
         "doc_id",
         "text_key",
