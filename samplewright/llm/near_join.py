@@ -69,29 +69,36 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    def __init__(self, words: int):
-        self.words, self.known = words, {}
+    """Texts -> sorted distinct 64-bit hashes of their word runs. Words are hashed from all their bytes at once, in blocks of words."""
+
+    def __init__(self, words: int, block: int = 1 << 16):
+        self.words, self.block = words, block
+        rng = np.random.default_rng(7)
+        self.bytes = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.places = rng.integers(0, 2**62, words, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
+        self.powers = np.ones(1, dtype=np.uint64)
+
+    def _hashes(self, words: list[str]) -> np.ndarray:
+        raw = np.frombuffer(("\n".join(words) + "\n").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        ends = np.flatnonzero(raw == 10) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        sizes = ends - starts
+        if sizes.max() > len(self.powers):
+            self.powers = np.cumprod(np.full(2 * int(sizes.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+        place = np.arange(len(raw)) - np.repeat(starts, sizes)
+        return _mix(np.add.reduceat(self.bytes[raw] * self.powers[place], starts))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted distinct 64-bit hashes of the text's word runs."""
-        import xxhash
-
-        known, out = self.known, []
-        if len(known) > 500_000:
-            known.clear()
-        for w in (text or "").lower().split():
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        if not out:
+        words = (text or "").lower().split()
+        if not words:
             return np.zeros(0, dtype=np.uint64)
-        h = np.array(out, dtype=np.uint64)
+        h = np.concatenate([self._hashes(words[at : at + self.block]) for at in range(0, len(words), self.block)])
         n = min(self.words, len(h))
-        acc = np.full(len(h) - n + 1, n, dtype=np.uint64)
+        runs = np.full(len(h) - n + 1, n, dtype=np.uint64)
         for i in range(n):
-            acc = _mix(acc + h[i : len(h) - n + 1 + i])
-        return np.unique(acc)
+            runs += h[i : len(h) - n + 1 + i] * self.places[i]
+        runs = np.sort(_mix(runs))
+        return runs[np.concatenate([[True], runs[1:] != runs[:-1]])]
 
 
 def shorten(counts: dict[int, list[int]], trees: int, depth: int, threshold: float, recall: float, crowd: int) -> list[int]:
@@ -119,25 +126,25 @@ def shorten(counts: dict[int, list[int]], trees: int, depth: int, threshold: flo
 def _signer(trees: int, depth: int, seed: int = 1):
     """Sets of hashes -> one number per tree: the hash of the first SHORT minima, then BITS of each other one's."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 2**31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    b = rng.integers(0, 2**32, trees * depth, dtype=np.uint32)
-    tree, work = np.arange(trees, dtype=np.uint64), np.empty((1024, trees * depth), dtype=np.uint32)
+    a = rng.integers(0, 2**31, (trees * depth, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 2**32, (trees * depth, 1), dtype=np.uint32)
+    salt = _mix(np.arange(1, trees + 1, dtype=np.uint64))
+    places = rng.integers(0, 2**62, (SHORT, 1), dtype=np.uint64) * np.uint64(4) + np.uint64(1)
+    work = np.empty((trees * depth, 512), dtype=np.uint32)
 
     def keys(h: np.ndarray) -> np.ndarray:
         least = np.full(trees * depth, np.iinfo(np.uint32).max, dtype=np.uint32)
         h = (h >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(h), len(work)):
-            part = work[: len(h) - at]
-            np.multiply(h[at : at + len(work), None], a, out=part)
+        for at in range(0, len(h), work.shape[1]):
+            part = work[:, : len(h) - at]
+            np.multiply(h[at : at + work.shape[1]], a, out=part)
             part += b
-            np.minimum(least, part.min(axis=0), out=least)
-        columns = least.reshape(trees, depth).T.astype(np.uint64)
-        out, rest = _mix(tree + np.uint64(1)), BITS * (depth - SHORT)
-        for column in columns[:SHORT]:
-            out = _mix(out ^ _mix(column))
+            np.minimum(least, part.min(axis=1), out=least)
+        columns = _mix(least.reshape(trees, depth).T.astype(np.uint64) + salt)
+        out, rest = _mix((columns[:SHORT] * places).sum(axis=0)), BITS * (depth - SHORT)
         out = out >> np.uint64(rest)
         for column in columns[SHORT:]:
-            out = out << np.uint64(BITS) | _mix(column + tree) >> np.uint64(64 - BITS)
+            out = out << np.uint64(BITS) | column >> np.uint64(64 - BITS)
         return out.view(np.int64)
 
     return keys
