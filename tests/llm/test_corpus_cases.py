@@ -45,7 +45,30 @@ def test_index_persists_and_grows(spark, tmp_path):
     assert got == {3: (1, False), 4: (5, False), 5: (5, True)}
     assert sorted(r["keep_id"] for r in index.read().collect()) == [1, 2, 5]
     plan = index.unseen(two.select(exact_dedup.digest("text").alias("digest")))._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_failed_batch_is_repeated_under_its_name(spark, tmp_path, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 200).alias("text"))
+    path, add, calls = f"file://{tmp_path}/index", exact_dedup.DigestIndex.add, []
+    before = spark.createDataFrame([(1000, "T7")], "doc_id long, text string")
+    assert exact_dedup.decide(before, exact_dedup.DigestIndex(spark, path, 4)).filter("kept").count() == 1
+
+    def broken(self, entries, batch):
+        add(self, entries, batch)
+        calls.append(batch)
+        raise OSError("lost")
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", broken)
+    with pytest.raises(OSError):
+        exact_dedup.decide(docs, exact_dedup.DigestIndex(spark, path, 4), batch="b")
+    monkeypatch.undo()
+    assert calls == ["b"] and exact_dedup.DigestIndex(spark, path, 4).read().count() > 1
+    for _ in range(2):  # after the failure, and once more: the same rows stay
+        got = exact_dedup.decide(docs, exact_dedup.DigestIndex(spark, path, 4), batch="b").toPandas()
+        assert set(got.doc_id[got.kept]) == {i for i in range(100, 300) if i not in (207,)}
+        assert set(got.keep_id[got.doc_id.isin([7, 207])]) == {1000}
+    assert exact_dedup.decide(docs, exact_dedup.DigestIndex(spark, path, 4), batch="c").filter("kept").count() == 0
 
 
 def test_mixing(odd, none):

@@ -20,6 +20,23 @@ def test_sql(spark, sf_dir, name):
     assert compare(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), oracles.ORACLES[name]) == ""
 
 
+def test_exact_dedup_goes_through_the_index(spark, sf_dir, monkeypatch):
+    """The second half of the documents is anti-joined with the first one's entries."""
+    from samplewright.llm import exact_dedup
+
+    plans, unseen = [], exact_dedup.DigestIndex.unseen
+
+    def noted(self, digests):
+        out = unseen(self, digests)
+        plans.append((out._jdf.queryExecution().executedPlan().toString(), digests.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", noted)
+    queries.op10_exact_dedup(spark, sf_dir)
+    assert len(plans) == 2 and "LeftAnti" in plans[1][0] and "SortMergeJoin" in plans[1][0]
+    assert 0 < plans[1][2] < plans[1][1]  # some of its texts were known
+
+
 def test_registered():
     import __spark_entry__ as e
 
