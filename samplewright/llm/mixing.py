@@ -8,13 +8,16 @@ starts, as a share of the target, is sent through the inverse of the source's
 cumulative schedule to give its training position, and the result is
 range-sorted by position.
 
-No source is ever one group of a shuffle: sources are split into hash ranges,
+The order of a source's documents is that of a digest of seed, doc_id and text, so
+rows differ in it unless they agree in both. No source is ever one group of a shuffle: sources are split into hash ranges,
 sums per range are combined in a small table, and running sums are taken within
 ranges.
 
 Cases: null text counts as empty (size 0, nothing taken); null sources form one
-source, sorted last; repeated rows count each; with no words all targets are 0;
-an empty table gives no rows; other columns are ignored by `plan_mix`.
+source, sorted last; repeated rows count each and may change places; with no words
+all targets are 0; an empty table gives no rows; other columns, with any names, are
+ignored by `plan_mix` and kept by `mix`. `weights` and `schedules` may differ in
+length: each repeats by itself.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from .common import cut, spread, word_count
 #: (time, weight factor) knots: sources whose turn in the weight cycle comes first fade out, the others fade in. Both integrate to 1.
 FADE_OUT = ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5))
 FADE_IN = ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))
+SCHEDULES = (FADE_OUT, FADE_IN, FADE_IN)
 
 
-def _order_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _order_key(doc_id: Column, text: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def _areas(knots: Sequence[tuple[float, float]]) -> list[float]:
@@ -47,10 +51,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: float
 
     One row per source: small tables, so their windows need no split.
     """
-    n, areas = len(weights), [_areas(s)[-1] for s in schedules]
+    areas = [_areas(s)[-1] for s in schedules]
     pick = lambda values, k: F.element_at(F.array(*[F.lit(float(x)) for x in values]), (k % len(values) + 1).cast("int"))
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumn("weight", pick(weights, F.col("rank")) * pick(areas, F.col("rank") % n)).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    ranked = ranked.withColumn("weight", pick(weights, F.col("rank")) * pick(areas, F.col("rank"))).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
     everything = Window.partitionBy()
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
@@ -79,11 +83,19 @@ def _invert(u: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return F.least(F.greatest(out, F.lit(float(knots[0][0]))), F.lit(float(knots[-1][0])))
 
 
+def _position(word: Column, schedules: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """Training time of a word on its source's line, of the columns target and rank."""
+    share, out = F.when(F.col("target") > 0, F.least(F.lit(1.0), word / F.col("target"))).otherwise(0.0), F.lit(None).cast("double")
+    for i, knots in reversed(list(enumerate(schedules))):
+        out = F.when(F.col("rank") % len(schedules) == i, _invert(share, knots)).otherwise(out)
+    return out
+
+
 def plan_mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
     max_epochs: float = 3.0,
-    schedules: Sequence[Sequence[tuple[float, float]]] = (FADE_OUT, FADE_IN, FADE_IN),
+    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     text: str = "text",
     source: str = "source",
     doc_id: str = "doc_id",
@@ -98,25 +110,21 @@ def plan_mix(
     """
     spark = docs.sparkSession
     ranges = max(64, 2 * spread(spark))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _order_key(F.col(doc_id), seed).alias("order_key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _order_key(F.col(doc_id), F.col(text), seed).alias("order_key"))
     rows = cut(rows.withColumn("slice", F.floor(F.conv(F.substring("order_key", 1, 6), 16, 10).cast("double") * ranges / 16**6).cast("int")), "sizes")
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     slices = cut(slices, "slices")
     targets = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs, schedules)
     base = slices.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base = base.join(targets, base["source"].eqNullSafe(targets["source"])).select(base["source"].alias("_s"), F.col("slice").alias("_k"), "base", "source_size", "rank", "target")
-    inside = Window.partitionBy("source", "slice").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.join(targets, base["source"].eqNullSafe(targets["source"])).select(base["source"].alias("of"), F.col("slice").alias("piece"), "base", "source_size", "rank", "target")
+    inside = Window.partitionBy("source", "slice").orderBy("order_key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(base, rows["source"].eqNullSafe(F.col("_s")) & (F.col("slice") == F.col("_k")))
+    rows = rows.join(base, rows["source"].eqNullSafe(F.col("of")) & (F.col("slice") == F.col("piece")))
     rows = rows.withColumn("start", F.col("base") + F.col("inner"))
     goal, size = F.floor("target").cast("long"), F.col("source_size")
     passes = F.when(size > 0, F.floor(goal / size)).otherwise(0).cast("long")
     taken = passes * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), goal - passes * size - F.col("start")))
-    position = F.lit(None).cast("double")
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("start") / F.col("target"))).otherwise(0.0)
-    for i, knots in reversed(list(enumerate(schedules))):
-        position = F.when(F.col("rank") % len(schedules) == i, _invert(share, knots)).otherwise(position)
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", position.alias("position"), "rank", "order_key")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", _position(F.col("start"), schedules).alias("position"), "rank", "order_key")
 
 
 def in_order(rows: DataFrame, *by: str | Column) -> DataFrame:
@@ -124,30 +132,25 @@ def in_order(rows: DataFrame, *by: str | Column) -> DataFrame:
     return rows.repartitionByRange(spread(rows.sparkSession), *by).sortWithinPartitions(*by)
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **kw) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = "mix", **kw) -> DataFrame:
     """docs as the mix takes them, range-sorted by training position; same columns.
 
     A document appears once for each pass in which its middle word is within the
     target, so whole documents are kept and a source's words are within half a
     document of its target. Texts move in the join that brings positions to them (by
-    doc_id, source and text size) and, once per copy, in the range sort.
+    order key) and, once per copy, in the range sort. Equal rows follow each other on
+    their source's line, so one entry stands for all of them.
     """
-    schedules = kw.get("schedules", (FADE_OUT, FADE_IN, FADE_IN))
-    plan = plan_mix(docs, text=text, source=source, doc_id=doc_id, **kw)
-    middle = F.col("start") + F.col("size") / 2
-    copies = F.when(F.col("source_size") > 0, F.ceil((F.col("target") - middle) / F.col("source_size"))).otherwise(1)
-    plan = plan.withColumn("copies", F.greatest(F.lit(0), copies).cast("int")).filter("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.collect_list(F.struct("copies", "start", "source_size", "target", "rank")).alias("_plans")
-    )
-    sized = docs.withColumn("_words", word_count(F.col(text)))
-    same = Window.partitionBy(doc_id, source, "_words").orderBy(F.lit(0))
-    out = sized.join(plan, sized[doc_id].eqNullSafe(plan["_id"]) & sized[source].eqNullSafe(plan["_source"]) & (F.col("_words") == F.col("_size")))
-    out = out.withColumn("_k", F.row_number().over(same)).filter(F.col("_k") <= F.size("_plans"))
-    out = out.withColumn("_p", F.element_at("_plans", F.col("_k"))).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_p.copies") - 1)))
-    share = F.when(F.col("_p.target") > 0, F.least(F.lit(1.0), (F.col("_p.start") + F.col("_pass") * F.col("_p.source_size")) / F.col("_p.target"))).otherwise(0.0)
-    position = F.lit(None).cast("double")
-    for i, knots in reversed(list(enumerate(schedules))):
-        position = F.when(F.col("_p.rank") % len(schedules) == i, _invert(share, knots)).otherwise(position)
-    out = out.withColumn("_position", position)
-    return in_order(out, "_position").select(*[docs[c] for c in docs.columns])
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    at = {c: k for k, c in names.items()}
+    plan = plan_mix(docs, text=text, source=source, doc_id=doc_id, seed=seed, **kw)
+    plan = plan.groupBy("order_key", F.col("source").alias("of")).agg(F.min("start").alias("first"), *[F.first(c).alias(c) for c in ("size", "source_size", "target", "rank")])
+    rows = docs.toDF(*names).withColumn("key", _order_key(F.col(at[doc_id]), F.col(at[text]), seed))
+    out = rows.join(plan, (F.col("key") == F.col("order_key")) & F.col(at[source]).eqNullSafe(F.col("of")))
+    plain = [c for c, kind in docs.toDF(*names).dtypes if not kind.startswith(("map", "variant"))]
+    equal = F.row_number().over(Window.partitionBy("order_key", "of").orderBy(F.xxhash64(*plain))) - 1
+    out = out.withColumn("start", F.col("first") + equal * F.col("size"))
+    copies = F.when(F.col("source_size") > 0, F.ceil((F.col("target") - F.col("start") - F.col("size") / 2) / F.col("source_size"))).otherwise(1)
+    out = out.withColumn("copies", copies.cast("int")).filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    out = out.withColumn("position", _position(F.col("start") + F.col("pass") * F.col("source_size"), kw.get("schedules", SCHEDULES)))
+    return in_order(out, "position", "order_key", "pass").select(*[F.col(k).alias(c) for k, c in names.items()])

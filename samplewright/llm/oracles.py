@@ -7,7 +7,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 OP3 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
@@ -19,15 +19,23 @@ l AS (
 f AS (
   SELECT (SELECT rate FROM l WHERE rate * weight <= cap ORDER BY cap / weight, r LIMIT 1) AS rate),
 t AS (
-  SELECT l.source, l.source_size, least(cap, coalesce(f.rate * weight, cap))::DOUBLE AS target FROM l, f),
+  SELECT l.source, l.source_size, l.r, least(cap, coalesce(f.rate * weight, cap))::DOUBLE AS target FROM l, f),
 p AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS goal,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT d.*, t.source_size, t.target, t.r, floor(t.target)::BIGINT AS goal,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+y AS (
+  SELECT *, CASE WHEN target > 0 THEN least(1.0::DOUBLE, start::DOUBLE / target) ELSE 0.0::DOUBLE END AS u FROM p)
 SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END * size
-        + least(size, greatest(0, goal - CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END * source_size - start)))::BIGINT AS taken
-FROM p
+        + least(size, greatest(0, goal - CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END * source_size - start)))::BIGINT AS taken,
+       -- the time at which the integral of the source's weight schedule reaches u: fading out from 1.5 to 0.5, or in from 0.5 to 1.5
+       CASE WHEN start >= goal THEN NULL
+            WHEN r % 3 = 0 AND u < 0.625 THEN 1.5::DOUBLE - sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE - 2.0::DOUBLE * u))
+            WHEN r % 3 = 0 THEN 0.5::DOUBLE + (1.0::DOUBLE - sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE * (u - 0.625::DOUBLE))))
+            WHEN u < 0.375 THEN sqrt(0.25::DOUBLE + 2.0::DOUBLE * u) - 0.5::DOUBLE
+            ELSE 0.5::DOUBLE + (sqrt(1.0::DOUBLE + 2.0::DOUBLE * (u - 0.375::DOUBLE)) - 1.0::DOUBLE) END AS position
+FROM y
 """
 
 OP5 = r"""
