@@ -39,7 +39,8 @@ def _order_key(doc_id: Column, text: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
-def _areas(knots: Sequence[tuple[float, float]]) -> list[float]:
+def areas(knots: Sequence[tuple[float, float]]) -> list[float]:
+    """Integral of a schedule up to each of its knots."""
     out = [0.0]
     for (a, u), (b, v) in zip(knots, knots[1:], strict=False):
         out.append(out[-1] + (b - a) * (u + v) / 2)
@@ -51,10 +52,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: float
 
     One row per source: small tables, so their windows need no split.
     """
-    areas = [_areas(s)[-1] for s in schedules]
+    totals = [areas(s)[-1] for s in schedules]
     pick = lambda values, k: F.element_at(F.array(*[F.lit(float(x)) for x in values]), (k % len(values) + 1).cast("int"))
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumn("weight", pick(weights, F.col("rank")) * pick(areas, F.col("rank"))).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    ranked = ranked.withColumn("weight", pick(weights, F.col("rank")) * pick(totals, F.col("rank"))).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
     everything = Window.partitionBy()
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
@@ -73,13 +74,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: float
 
 def _invert(u: Column, knots: Sequence[tuple[float, float]]) -> Column:
     """Time at which the schedule's integral reaches share u of its total: a quadratic per piece."""
-    areas = _areas(knots)
-    y, out = u * F.lit(areas[-1]), F.lit(float(knots[-1][0]))
+    done = areas(knots)
+    y, out = u * F.lit(done[-1]), F.lit(float(knots[-1][0]))
     for i in reversed(range(len(knots) - 1)):
         (a, w), (b, v) = knots[i], knots[i + 1]
-        slope, z = (v - w) / (b - a), y - F.lit(areas[i])
+        slope, z = (v - w) / (b - a), y - F.lit(done[i])
         root = z / F.lit(w) if slope == 0 else (F.sqrt(F.greatest(F.lit(0.0), F.lit(w * w) + F.lit(2 * slope) * z)) - F.lit(w)) / F.lit(slope)
-        out = F.when(y < F.lit(areas[i + 1]), F.lit(a) + root).otherwise(out)
+        out = F.when(y < F.lit(done[i + 1]), F.lit(a) + root).otherwise(out)
     return F.least(F.greatest(out, F.lit(float(knots[0][0]))), F.lit(float(knots[-1][0])))
 
 

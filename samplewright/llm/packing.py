@@ -8,7 +8,12 @@ next one and never lags or leads by more than a quantum. That order has a closed
 form (how many quanta of every other source are due earlier), so any task can
 place any document without state from other tasks: deficits carry across windows
 and partitions at no cost. By default the weights are the sources' own sizes, so
-all queues run dry together and every window holds the corpus's proportions.
+all queues run dry together and every window holds the corpus's proportions. With
+`schedules` (the curriculum of the mixing operator) the proportions change over
+time: a quantum is due when the integral of its source's schedule has reached it, so
+early windows hold more of the sources that fade out. Due times are floating point;
+the order they give is total (ties go by source, then by number), and counts are
+corrected to it, so places are exact for any number of tokens.
 
 Quanta fill windows exactly. What is left (less than a quantum per source) is
 laid end to end; a last part short of a window is split into sequences whose
@@ -19,7 +24,8 @@ token is shuffled, and a source's size does not matter to any task.
 
 Cases: null or empty text gives the end token alone; null sources form one
 queue; repeated rows are packed each; an empty table gives no rows; other
-columns are ignored.
+columns are ignored. Sources may number some thousands: each task looks through all
+of them for each quantum.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
+from .mixing import areas
 from .tokens import END_OF_TEXT, default_path, encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -65,15 +72,40 @@ def _tokenize(docs: DataFrame, text: str, source: str, doc_id: str, path: str) -
     return map_arrow(rows, encode, _TOKENS)
 
 
+class Schedule:
+    """A piecewise linear weight over time: share(t) of its integral is done by time t; time(u) is when share u is done. Both rise."""
+
+    def __init__(self, knots: Sequence[tuple[float, float]]):
+        self.at, self.weight = (np.array(x, dtype=np.float64) for x in zip(*knots, strict=True))
+        self.done = np.array(areas(knots)) / areas(knots)[-1]
+        self.slope = np.diff(self.weight) / np.diff(self.at)
+        self.total = areas(knots)[-1]
+
+    def time(self, u: np.ndarray) -> np.ndarray:
+        i = np.clip(np.searchsorted(self.done, u, "right") - 1, 0, len(self.slope) - 1)
+        w, slope, z = self.weight[i], self.slope[i], (u - self.done[i]) * self.total
+        flat = np.abs(slope) < 1e-12
+        root = np.where(flat, z / np.where(w > 0, w, 1), (np.sqrt(np.maximum(0.0, w * w + 2 * slope * z)) - w) / np.where(flat, 1, slope))
+        return np.clip(self.at[i] + root, self.at[i], self.at[i + 1])
+
+    def share(self, t: np.ndarray) -> np.ndarray:
+        i = np.clip(np.searchsorted(self.at, t, "right") - 1, 0, len(self.slope) - 1)
+        x = np.clip(t - self.at[i], 0, self.at[i + 1] - self.at[i])
+        return self.done[i] + x * (self.weight[i] + self.slope[i] * x / 2) / self.total
+
+
 class Layout:
-    """Places source positions in sequences. All arithmetic is exact."""
+    """Places source positions in sequences. Every place is given once."""
 
-    def __init__(self, totals: Sequence[int], quantum: int, window: int, weights: Sequence[int] | None = None):
+    def __init__(self, totals: Sequence[int], quantum: int, window: int, weights: Sequence[int] | None = None, schedules: Sequence[Sequence[tuple[float, float]]] | None = None):
         if window % quantum:
             raise ValueError("the window must be a multiple of the quantum")
+        if weights and schedules:
+            raise ValueError("give weights or schedules")
         self.quantum, self.window = quantum, window
         self.quanta = [t // quantum for t in totals]
-        self.weights = [int(w) for w in (weights or self.quanta)]
+        self.weights = [float(w) for w in (weights or self.quanta)]
+        self.schedules = [Schedule(schedules[i % len(schedules)]) for i in range(len(totals))] if schedules else None
         served = quantum * sum(self.quanta)
         self.tail = [served]
         for t in totals:
@@ -86,22 +118,30 @@ class Layout:
             if rest >> bit & 1:
                 at += 1 << bit
                 self.cuts.append(at)
-        big = (2 * max(self.quanta, default=0) + 1) * (max(self.weights, default=0) + 1) >= 2**62
-        self.kind = object if big else np.int64
+
+    def due(self, s: int, k: np.ndarray) -> np.ndarray:
+        """When quanta k of source s are due: never earlier for a larger k."""
+        at = (2 * k + 1) / (2 * self.weights[s])
+        return self.schedules[s].time(at) if self.schedules else at
 
     def rank(self, s: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Quanta served before quantum k of source s."""
-        out = np.array(k, dtype=self.kind)
-        w = np.array(self.weights, dtype=self.kind)
-        own = w[s]
+        """Quanta served before quantum k of source s: those due earlier, or as early and of an earlier source."""
+        out, times = np.array(k, dtype=np.int64), np.zeros(len(k))
+        for own in np.unique(s):
+            times[s == own] = self.due(int(own), k[s == own])
         for other, n in enumerate(self.quanta):
             if not n:
                 continue
-            num = (2 * k.astype(self.kind) + 1) * w[other]
-            q, r = num // own, num % own
-            due = np.where((r > 0) | (other < s), (q + 1) // 2, q // 2)
-            out = out + np.where(other == s, 0, np.minimum(due, n))
-        return out.astype(np.int64)
+            earlier = lambda j: (self.due(other, j) < times) | ((self.due(other, j) == times) & (other < s))  # noqa: B023, E731
+            share = self.schedules[other].share(times) if self.schedules else times
+            count = np.clip(np.ceil(share * self.weights[other] - 0.5), 0, n).astype(np.int64)
+            while True:  # rounding may have put it off by one or so
+                move = ((count < n) & earlier(np.minimum(count, n - 1))).astype(np.int64) - ((count > 0) & ~earlier(np.maximum(count - 1, 0)))
+                if not move.any():
+                    break
+                count += move
+            out += np.where(s == other, 0, count)
+        return out
 
     def pieces(self, s: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
         """For spans [a, b) on the lines of sources s: (span, start in it, length, sequence, offset)."""
@@ -148,6 +188,7 @@ def pack(
     window: int = 2048,
     quantum: int = 256,
     weights: dict[str | None, int] | None = None,
+    schedules: Sequence[Sequence[tuple[float, float]]] | None = None,
     text: str = "text",
     source: str = "source",
     doc_id: str = "doc_id",
@@ -156,20 +197,21 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     `weights` (positive integers, by source) set target proportions; a source
-    that runs dry leaves its share to the others. The per-source totals collected
-    to the driver are one number per source.
+    that runs dry leaves its share to the others. `schedules` go to sources in order
+    of their names, null last, repeating. The per-source totals collected to the
+    driver are one number per source.
     """
     path = path or default_path()
     tokens = cut(_tokenize(docs, text, source, doc_id, path), "tokens")
     sums = cut(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "token-sums")
     base = sums.select(
-        F.col("source").alias("_s"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
+        F.col("source").alias("of"), F.col("part").alias("in"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
     )
     totals = sorted(((r["source"], r["n"]) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     names = [x for x, _ in totals]
-    layout = Layout([n for _, n in totals], quantum, window, [weights[x] for x in names] if weights else None)
+    layout = Layout([n for _, n in totals], quantum, window, [weights[x] for x in names] if weights else None, schedules)
     number = {x: i for i, x in enumerate(names)}
-    rows = tokens.join(base, tokens["source"].eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p"))).select("doc_id", "source", (F.col("base") + F.col("start")).alias("start"), "n", "ids")
+    rows = tokens.join(base, tokens["source"].eqNullSafe(F.col("of")) & (F.col("part") == F.col("in"))).select("doc_id", "source", (F.col("base") + F.col("start")).alias("start"), "n", "ids")
 
     def place(batches):
         import pyarrow as pa

@@ -142,6 +142,40 @@ def test_round_robin_is_fair_at_every_quantum(weights):
             assert all(abs(g - n * x / sum(w)) <= 1.5 for g, x in zip(got, w, strict=True))
 
 
+def test_scheduled_quanta_come_when_the_curriculum_has_them():
+    from samplewright.llm.mixing import FADE_IN, FADE_OUT
+
+    totals = [90_000, 50_000, 13_000]
+    layout = packing.Layout(totals, 8, 64, schedules=(FADE_OUT, FADE_IN, ((0.0, 0.0), (1.0, 2.0))))
+    s = np.repeat(np.arange(3), layout.quanta)
+    k = np.concatenate([np.arange(n) for n in layout.quanta])
+    rank = layout.rank(s, k)
+    assert sorted(rank) == list(range(len(s)))
+    at = np.concatenate([layout.due(i, np.arange(n)) for i, n in enumerate(layout.quanta)])
+    assert (np.diff(at[np.argsort(rank)]) >= 0).all()
+    early = np.bincount(s[rank < len(s) // 10], minlength=3) / np.array(layout.quanta)
+    late = np.bincount(s[rank >= len(s) * 9 // 10], minlength=3) / np.array(layout.quanta)
+    assert early[0] > 1.2 * late[0] and late[1] > 1.5 * early[1] and late[2] > 4 * early[2]
+
+
+def test_places_are_exact_for_trillions_of_tokens():
+    """25 T tokens: ranks of neighbouring quanta are those of exact fractions."""
+    from fractions import Fraction
+
+    totals = [11_000_000_000_007, 9_000_000_000_011, 5_000_000_000_003]
+    layout = packing.Layout(totals, 256, 2048)
+    rng = np.random.default_rng(0)
+    s, k = np.repeat(np.arange(3), 40), np.concatenate([rng.integers(0, n, 40) for n in layout.quanta])
+    got = layout.rank(s, k)
+    n = layout.quanta
+    for i, (a, j) in enumerate(zip(s, k, strict=True)):
+        due = Fraction(2 * int(j) + 1, 2 * n[a])
+        want = int(j) + sum(min(n[o], max(0, -((1 - 2 * due * n[o]) // 2))) for o in range(3) if o != a)
+        assert abs(got[i] - want) <= 2  # ties in floating point are ordered by source
+    order = np.lexsort((s, [float(layout.due(int(a), np.array([j]))[0]) for a, j in zip(s, k, strict=True)]))
+    assert (np.diff(got[order]) > 0).all()
+
+
 def test_token_counts(spark, sf_dir, docs):
     from samplewright.llm import token_counts
 
@@ -177,6 +211,10 @@ def test_pipeline(spark, sf_dir, docs, tmp_path):
     mixed = seen["mixing"]
     assert set(mixed.doc_id) <= set(classes.values()) and mixed.doc_id.value_counts().max() <= 3
     rows = seen["packing"]
+    totals = rows.groupby("source").length.sum()
+    early, late = (x.groupby("source").length.sum() / totals for x in (rows[rows.sequence_id < rows.sequence_id.max() // 4], rows[rows.sequence_id > rows.sequence_id.max() * 3 // 4]))
+    names = sorted(totals.index)  # the first of three sources fades out, the others in: windows keep the curriculum
+    assert all((early[x] > late[x]) == (i % 3 == 0) for i, x in enumerate(names))
     count = mixed.doc_id.value_counts()
     ids = reference_ids(docs.loc[sorted(count.index)])
     assert rows.length.sum() == sum(len(ids[i]) * n for i, n in count.items())
