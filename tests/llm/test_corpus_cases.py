@@ -319,6 +319,70 @@ def test_html(spark):
     assert html_text.main_text("<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>" + plain) == " ".join(plain[3:-4].split())
 
 
+def bare_page(rng):
+    """(html, its main blocks) of a page of divs alone: no element or class tells what a block is."""
+    n = lambda lo, hi: int(rng.integers(lo, hi + 1))
+    words = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 9999, k))
+    main, out = [], []
+    add = lambda tag, text, keep: (out.append(f"<{tag}>{text}</{tag}>"), main.append(text) if keep else None)
+    links = lambda lo, hi, size: [add("div", f"<a href=x>{words(n(1, size))}</a>", False) for _ in range(n(lo, hi))]
+    add("div", words(n(1, 4)), False)
+    links(3, 9, 3)
+    if rng.random() < 0.5:
+        add("div", words(n(5, 16)), False)  # an advert or notice
+        links(1, 2, 2)
+    add("h1", words(n(4, 11)), True)
+    for _ in range(n(3, 9)):
+        add("p", words(int(np.clip(rng.lognormal(3.7, 0.6), 8, 200))), True)
+        if rng.random() < 0.1:
+            add("h2", words(n(2, 6)), True)
+            add("p", words(n(20, 70)), True)
+    links(2, 6, 8)
+    add("div", words(n(2, 10)), False)
+    return "<html><body><div>" + "".join(out) + "</div></body></html>", main
+
+
+def test_html_of_pages_without_telling_markup():
+    """Held-out pages that only words and links can tell apart: precision and recall of blocks, as the README states them."""
+    rng, hits, said, wanted = np.random.default_rng(77), 0, 0, 0
+    for _ in range(200):
+        page, main = bare_page(rng)
+        got = html_text.main_text(page).split("\n\n")
+        hits, said, wanted = hits + len(set(got) & set(main)), said + len(got), wanted + len(main)
+    assert hits / said > 0.95 and hits / wanted > 0.95
+
+
+def test_link_density_and_neighbours_decide_within_an_article():
+    text = "<p>" + "a story with many words that goes on for a while " * 4 + "</p>"
+    run = "".join(f"<li><a href=x>Other story {i}</a></li>" for i in range(5))
+    got = html_text.main_text(f"<body><article><h1>Title here</h1>{text}<p><a href=y>See the report</a></p>{text}<ul>{run}</ul></article></body>")
+    assert "See the report" in got and "Other story" not in got and got.startswith("Title here\n\na story")
+
+    def splits(tree):
+        return set() if tree[0] == "leaf" else {html_text.FEATURES[tree[0]]} | splits(tree[2]) | splits(tree[3])
+
+    assert {"words", "link_density", "prev_words", "prev_links", "next_links"} <= splits(html_text.trained())
+
+
+def test_html_class_words_and_open_quotes():
+    text = "the price of a share rose and side effects were seen by all of them today"
+    for name in ("share-price", "side-effects", "adsorption", "comment-free", "navel"):
+        assert html_text.main_text(f'<article><p class="{name}">{text}</p></article>') == text
+    for name in ("share", "share-buttons", "cookie-notice", "comments", "comment-list", "site-footer", "x ad y", "ad-slot-3"):
+        assert html_text.main_text(f'<article><p>{text}</p><div class="{name}">{text} x</div></article>') == text
+    assert html_text.main_text(f'<article><p title="abc>{text}</p>') == text
+    assert html_text.main_text(f"<article><p>{text}</p><p title='a > b' don't>{text}</p>") == f"{text}\n\n{text}"
+    many = '<article><p>' + text + '</p>' + '<a href="x' * 40000
+    assert html_text.main_text(many).startswith(text)
+
+
+def test_html_with_clashing_columns(spark):
+    rows = [(1, "u", PAGE, "a", 2, "b"), (1, "u", PAGE, "a", 2, "b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, _html string")
+    got = html_text.extract(pages, keep=("page_id", "url", "_html")).collect()
+    assert len(got) == 2 and got[0]["text"].startswith("T & x") and html_text.extract(pages.filter("false")).count() == 0
+
+
 def test_html_of_the_pages_table(spark, sf_dir):
     import html
 
