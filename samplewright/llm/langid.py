@@ -7,14 +7,17 @@ their slot counts. Nyström landmarks turn kernel values into features, on which
 one ridge regression per language (one versus rest) is fitted. Texts are scored
 in batches: one product with the landmarks' slots, one with the weights.
 
-Training uses a bounded sample: about `train_rows` labelled rows, chosen by hash
-of the id. What reaches the driver is their slot sets (`width` bits each), not
-their texts. Every text is predicted from all its characters.
+Training uses a bounded sample: of each language about `train_rows` / number of
+languages labelled rows (all, if it has fewer), those with the least hashes of id and
+text; rows equal in both count once, and no more than 4 * `train_rows` are taken in
+all. What reaches the driver is their slot sets (`width` bits each), not their texts,
+and one row count per language. Every text is predicted from all its characters.
 
 Cases: null text, or text without a letter, gives `und` with score 0; so do all
 texts if there is no labelled row; rows with null labels are not learned from;
 texts of any length are read in blocks; repeated rows are predicted alike; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns, with any names, are ignored by `identify`
+and kept by `known_language`.
 """
 
 from __future__ import annotations
@@ -127,11 +130,16 @@ def train(
     orders: int = 3,
     width: int = 1 << 14,
 ) -> KernelModel:
-    """Fit on about `train_rows` of the rows with a label and a letter in the text."""
-    rows = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.select(doc_id).count()
-    rows = rows.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_000)).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    rows = rows.filter(F.col("h") < min(1_000_000, -(-1_000_000 * train_rows // max(n, 1))))
+    """Fit on a sample of the rows with a label and a letter in the text."""
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(doc_id).cast("string").alias("id")).filter("lang is not null and text is not null")
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    sizes = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    quota = -(-train_rows // max(1, len(sizes)))
+    # A share of the hashes that holds 1.5 times the quota: few languages fall short of it, and the rest is cut below.
+    shares = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.5 * quota / n))]) if sizes else None
+    if sizes:
+        rows = rows.filter(F.shiftrightunsigned("h", 1) < shares[F.col("lang")] * F.lit(float(2**63)))
+    rows = rows.groupBy("lang", "h").agg(F.first("text").alias("text")).select("h", "lang", "text").limit(4 * train_rows)
 
     def slots(batches):
         import pyarrow as pa
@@ -147,7 +155,10 @@ def train(
             index = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(bits, pa.binary())], ["h", "lang", "bits"])
 
-    sample = sorted(((r["h"], r["lang"], bytes(r["bits"])) for r in map_arrow(rows, slots, "h long, lang string, bits binary").collect()))
+    found: dict[str, list] = {}
+    for r in map_arrow(rows, slots, "h long, lang string, bits binary").collect():
+        found.setdefault(r["lang"], []).append((r["h"] >> 1 & 2**63 - 1, bytes(r["bits"])))
+    sample = sorted((h, x, bits) for x, own in found.items() for h, bits in sorted(own)[:quota])
     if not sample:
         return KernelModel([], np.zeros((0, width)), np.zeros((1, 0)), orders, width)
     sets = [np.flatnonzero(np.unpackbits(np.frombuffer(b, dtype=np.uint8))).astype(np.int32) for _, _, b in sample]
@@ -156,10 +167,9 @@ def train(
 
 def identify(docs: DataFrame, model: KernelModel, keep: list[str | Column], text: str = "text") -> DataFrame:
     """docs' columns `keep`, then lang_pred and score."""
-    base = docs.select(*keep, F.col(text).alias("_text"))
+    base = docs.select(*keep, F.col(text).alias("the whole text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x width floats: bounded by the parameters
-    out = base.drop("_text").schema
-    schema = out.add("lang_pred", "string").add("score", "double") if not isinstance(out, str) else out
+    schema = base.drop("the whole text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         import pyarrow as pa

@@ -263,6 +263,43 @@ def test_language(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 4, 4, 5, 7, 8]
 
 
+def test_the_training_sample_is_bounded(spark, monkeypatch):
+    """Null and repeated ids, one rare language: few rows reach the driver, and the rare one is learned."""
+    text = {"a": "aba bab abba baab", "b": "xyx yxy xyyx yxxy", "r": "klk lkl kllk"}
+    rows = [(None, f"{text['a']} a{'ab'[i % 2] * (i % 50)}", "a") for i in range(2000)] + [(7, f"{text['b']} x{'xy'[i % 2] * i}", "b") for i in range(300)] + [(i, text["r"], "r") for i in range(3)]
+    seen, fit = [], langid.KernelModel.fit.__func__
+    monkeypatch.setattr(langid.KernelModel, "fit", classmethod(lambda cls, slots, labels, *a: (seen.append(labels), fit(cls, slots, labels, *a))[1]))
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), train_rows=90)
+    assert len(seen[0]) <= 90 and seen[0].count("r") == 3 and 20 <= seen[0].count("b") <= 30
+    again = langid.train(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string"), train_rows=90)
+    assert np.allclose(model.weights, again.weights)
+    assert model.predict(["klkl", "abab", "xyxy"])[0] == ["r", "a", "b"]
+
+
+def test_kernel_ridge_by_direct_computation():
+    """Blended-spectrum presence kernel, Nystrom features and one-versus-rest ridge, written out and solved in the dual."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list(abc), 30)) for abc in ("abcd ", "cdef ", "efgh ") for _ in range(20)]
+    labels = [x for x in "pqr" for _ in range(20)]
+    grams = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in (re.sub(" +", " ", x) for x in texts)]
+    width = 1 << 14
+    slots = [langid.spectrum(t, 3, width) for t in texts]
+    assert [len(s) for s in slots] == [len(g) for g in grams]
+    model = langid.KernelModel.fit(slots, labels, 12, 1.0, 3, width)
+    marks = [20 * (i % 3) + i // 3 for i in range(12)]
+    kernel = lambda a, b: len(set(slots[a]) & set(slots[b])) / np.sqrt(len(slots[a]) * len(slots[b]))
+    kmm = np.array([[kernel(i, j) for j in marks] for i in marks])
+    knm = np.array([[kernel(i, j) for j in marks] for i in range(60)])
+    values, vectors = np.linalg.eigh(kmm)
+    phi = np.hstack([knm @ (vectors / np.sqrt(values)), np.ones((60, 1))])
+    y = np.array([[1.0 if a == b else -1.0 for b in "pqr"] for a in labels])
+    alpha = np.linalg.solve(phi @ phi.T + np.eye(60), y)  # classes are of one size, so all weights are 1
+    want = phi @ phi.T @ alpha
+    langs, scores = model.predict(texts)
+    assert langs == ["pqr"[i] for i in want.argmax(axis=1)]
+    assert np.abs(np.array(scores) - np.clip((want.max(axis=1) + 1) / 2, 0, 1)).max() < 1e-4
+
+
 def test_spectrum_blocks_join():
     text = "Der schnelle braune Fuchs springt über den faulen Hund. " * 30
     whole = langid.spectrum(text, 3, 1 << 14)
