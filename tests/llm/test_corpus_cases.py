@@ -259,7 +259,7 @@ def test_language(spark, odd, none):
     assert langid.identify(none, model, ["doc_id"]).count() == 0
     nothing = langid.train(none)
     assert {r["lang_pred"] for r in langid.identify(odd, nothing, ["doc_id"]).collect()} == {"und"}
-    kept = langid.known_language(odd)
+    kept = langid.known_language(odd, min_nearest=0.0)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 4, 4, 5, 7, 8]
 
 
@@ -295,9 +295,10 @@ def test_kernel_ridge_by_direct_computation():
     y = np.array([[1.0 if a == b else -1.0 for b in "pqr"] for a in labels])
     alpha = np.linalg.solve(phi @ phi.T + np.eye(60), y)  # classes are of one size, so all weights are 1
     want = phi @ phi.T @ alpha
-    langs, scores = model.predict(texts)
+    langs, scores, nearest = model.predict(texts)
     assert langs == ["pqr"[i] for i in want.argmax(axis=1)]
     assert np.abs(np.array(scores) - np.clip((want.max(axis=1) + 1) / 2, 0, 1)).max() < 1e-4
+    assert np.abs(np.array(nearest) - knm.max(axis=1)).max() < 1e-5
 
 
 def test_spectrum_blocks_join():
