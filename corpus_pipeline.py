@@ -19,7 +19,7 @@ from samplewright.llm.common import read_table, shared_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: no letter in the text, or a score under langid.MIN_SCORE."""
+    """Drops documents whose language cannot be told: no letter in the text, or no landmark of the model near it (langid.MIN_NEAREST)."""
     return langid.known_language(docs)
 
 
