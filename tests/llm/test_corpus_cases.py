@@ -451,7 +451,7 @@ def test_pseudonyms(spark):
         (3, "ssn 123-45-6789 bad 000-12-3456 ip 10.0.0.255 bad 10.0.0.256 mail bob.smith+x@mail.example.org"), (4, None), (5, ""), (6, "nothing 12 here"), (6, "nothing 12 here"), (7, "1.2.3.4 " * 5000),
     ]
     docs = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, kind string, now int")
-    got = pseudonyms.pseudonymise(docs).orderBy("doc_id").collect()
+    got = pseudonyms.pseudonymise(docs, "samplewright").orderBy("doc_id").collect()
     assert [r["n_replaced"] for r in got] == [2, 5, 3, 0, 0, 0, 0, 5000] and got[3]["text"] is None and got[5]["text"] == "nothing 12 here"
     digits = lambda s: re.sub(r"\D", "", s)
     cards = [digits(x["now"]) for r in got[:2] for x in r["replaced"] if x["kind"] == "card"]
@@ -462,16 +462,16 @@ def test_pseudonyms(spark):
     parsed = {datetime.datetime.strptime(d, f).date() for d, f in zip(dates, ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"), strict=True)}
     assert len(parsed) == 1 and "2023-02-29" in got[1]["text"]
     assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4} bad 000-12-3456 ip (\d{1,3}\.){3}\d{1,3} bad 10\.0\.0\.256 mail [a-z]{3}\.[a-z]{5}\+[a-z]@mail\.example\.org", got[2]["text"])
-    back = pseudonyms.pseudonymise(spark.createDataFrame([(r["doc_id"], r["text"]) for r in got[:3]], "doc_id long, text string"), restore=True).orderBy("doc_id").collect()
+    back = pseudonyms.pseudonymise(spark.createDataFrame([(r["doc_id"], r["text"]) for r in got[:3]], "doc_id long, text string"), "samplewright", restore=True).orderBy("doc_id").collect()
     assert [r["text"] for r in back] == [r[1] for r in rows[:3]]
-    other = pseudonyms.pseudonymise(docs.limit(1), key="other").first()["text"]
+    other = pseudonyms.pseudonymise(docs.limit(1), "other").first()["text"]
     assert other != got[0]["text"]
-    assert pseudonyms.pseudonymise(docs.filter("false")).count() == 0
+    assert pseudonyms.pseudonymise(docs.filter("false"), "k").count() == 0
 
 
 def test_values_beside_other_characters_are_found(spark):
     texts = {"2 4111111111111111": 1, "no 7, 4111 1111 1111 1111.": 1, "3782-822463-10005": 1, "%%%bob.1@mail.example.com%%%": 1, "...amy@mail.example.com.": 1, "(10.1.2.3)": 1, "41111111111111111111111": 0, "1.2.3.4.5": 0}
-    got = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
     assert {list(texts)[r["doc_id"]]: r["n_replaced"] for r in got} == texts
 
 
