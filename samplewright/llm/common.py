@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: tables, shared storage, hot-key joins."""
+"""Helpers shared by the corpus operators: tables, shared storage, word counts."""
 
 from __future__ import annotations
 
@@ -65,23 +65,6 @@ def word_count(text: str | Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
-    """Join each row to its group's one record without sending a hot group to one task.
-
-    Groups holding over 1/1000 of all rows number fewer than 1000 whatever the
-    data, so that side is broadcast; rows they do not match go through an
-    ordinary shuffle join in which no key is hot.
-    """
-    least = max(100, total // 1000)
-    names = [c for c in groups.columns if c != key]
-    hot = groups.filter(F.col(size) > least)
-    rest = groups.filter(F.col(size) <= least)
-    tagged = rows.join(F.broadcast(hot.select(key, F.struct(*names).alias("_hot"))), key, "left")
-    done = tagged.filter(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in names])
-    left = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(rest, key, how)
-    return done.unionByName(left.select(*done.columns))
-
-
 _shipped: set[str] = set()
 
 

@@ -38,20 +38,50 @@ SELECT doc_id, size, source_size, target,
 FROM y
 """
 
-OP5 = r"""
-WITH u AS (
-  SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-r AS (
-  SELECT *, CASE
+_RULE = r"""CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
-    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM h)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END"""
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SPLIT = f"translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path"
+
+#: Rules, then blocks of aliases by the closure of canonical links and meta refreshes. Dot segments, base elements and
+#: character references in targets are left to the operator's own tests.
+OP5 = rf"""
+WITH RECURSIVE pg AS (
+  SELECT url, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g') AS html,
+         regexp_extract(url, '(?s)^(.*?:)//', 1) AS scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*(/(?:[^?#]*/)?)', 1) AS folder
+  FROM pages WHERE contains(url, '://')),
+tags AS (
+  SELECT pg.*, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pg),
+targets AS (
+  SELECT *, CASE WHEN regexp_matches(tag, '(?i)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?\s*([^"''>\s]+)', 1)
+                 WHEN regexp_matches(tag, '(?i)^<meta\b.*http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?\s*([^"''>\s]+)', 1) END AS t FROM tags),
+links AS (
+  SELECT url AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || t WHEN starts_with(t, '/') THEN origin || t
+                        WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(t, '?') THEN regexp_extract(url, '(?s)^([^?#]*)', 1) || t
+                        ELSE origin || CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS b
+  FROM targets WHERE t <> ''),
+ids AS (
+  SELECT DISTINCT translate(regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1), {_AZ}) || regexp_extract(a, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS a,
+                  translate(regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1), {_AZ}) || regexp_extract(b, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b FROM links WHERE b IS NOT NULL),
+edges AS (SELECT a, b FROM ids UNION SELECT b, a FROM ids),
+reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+ends AS (SELECT a, substr(b, strpos(b, '://') + 3) AS rest FROM reach),
+ruled AS (SELECT a, {_RULE} AS rule FROM (SELECT a, {_SPLIT} FROM ends)),
+blocked AS (SELECT DISTINCT a FROM ruled WHERE rule IN ('example.com/en/', 'net/es/', 'net/fr/')),
+u AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, {_SPLIT} FROM u),
+r AS (SELECT *, {_RULE} AS rule FROM h)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN contains(url, '://') AND translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), {_AZ}) || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) IN (SELECT a FROM blocked) THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM r
 """
 
 OP10 = f"""

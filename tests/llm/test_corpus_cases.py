@@ -443,6 +443,30 @@ def test_urls(spark):
     assert {i for i, r in got.items() if r["verdict"] == "block"} == {1, 3, 4, 5, 6, 12}
     assert (got[1]["host"], got[1]["path"]) == ("a.example.com", "/en/x") and (got[7]["host"], got[7]["path"]) == ("", "")
     assert url_filter.judge(pages.filter("false")).count() == 0
+    # The SQL twin, with its recursive closure, on the same pages; on both sides a url on many pages and many without one.
+    import duckdb
+    from oracle import compare
+
+    from samplewright.llm.oracles import OP5
+
+    more = spark.createDataFrame(rows + [(100 + i, *rows[3][1:]) for i in range(50)] + [(200 + i, None, None) for i in range(50)], "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", more.toPandas())
+    assert compare(url_filter.judge(more.withColumn("host", F.lit(1)).withColumn("node", F.lit(2))).drop("component"), con, OP5) == ""
+
+
+def test_link_targets_as_browsers_read_them(spark):
+    page = "https://x.org/a/b/c?q#f"
+    cases = {
+        "../d": "https://x.org/a/d", "./d": "https://x.org/a/b/d", "/../d/./e/..": "https://x.org/d/", "../../../d": "https://x.org/d", "d?x=../y": "https://x.org/a/b/d?x=../y", "?z": "https://x.org/a/b/c?z",
+        "//y.org/p": "https://y.org/p", "http://z.org": "http://z.org", "e&amp;f&#38;g&#x2F;h": "https://x.org/a/b/e&f&g/h", "mailto:q@x.org": None,
+    }
+    rows = spark.createDataFrame([(page, f'<link rel="canonical" href="{t}">') for t in cases], "url string, html string")
+    got = url_filter.resolve(rows.select("url", url_filter._targets(F.col("html"))[0].alias("v")), "v", "url").collect()
+    assert [r["v"] for r in got] == list(cases.values())
+    html = '<base href="/base/"><!-- <link rel=canonical href=no1> --><script>"<link rel=canonical href=no2>"</script><link rel=canonical href=yes>'
+    edges = url_filter.alias_edges(spark.createDataFrame([(page, html)], "url string, html string")).collect()
+    assert [tuple(r) for r in edges] == [("https://x.org/a/b/c?q", "https://x.org/base/yes")]
 
 
 def test_pseudonyms(spark):
