@@ -23,7 +23,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, spread
@@ -31,13 +31,16 @@ from .common import map_arrow, spread
 PRIME = np.uint64(2**31 - 1)
 BASES = (1_000_003, 1_299_721_127)
 SPAN, CLASSES, MARKS, BLOCK = 24, 128, 64, 1 << 18
+#: A span's class is the leading bits of its hash.
+_SHIFT = np.uint64(64 - CLASSES.bit_length() + 1)
+_CELLS, _BELOW, _NONE = np.arange(CLASSES, dtype=np.uint64) << _SHIFT, (np.uint64(1) << _SHIFT) - np.uint64(1), np.uint64(2**64 - 1)
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
     """x modulo the Mersenne prime, for x below 2^62."""
     x = (x & PRIME) + (x >> np.uint64(31))
-    x = (x & PRIME) + (x >> np.uint64(31))
-    return np.where(x >= PRIME, x - PRIME, x)
+    x = np.minimum(x, x - PRIME)  # below the prime the difference wraps around and is the larger one
+    return np.minimum(x, x - PRIME)
 
 
 @lru_cache(maxsize=8)
@@ -100,7 +103,7 @@ def fingerprint(text: str | None) -> str:
     """Length, whole hash, prefix marks and sketch, as hex fields."""
     text = text or ""
     n = len(text)
-    stride, least, marks = _stride(n), np.full(CLASSES, np.iinfo(np.uint64).max, dtype=np.uint64), []
+    stride, least, marks = _stride(n), np.full(CLASSES, _NONE, dtype=np.uint64), ""
     carried = [0, 0]
     for at in range(0, n, BLOCK):
         points = code_points(text[at : at + BLOCK + SPAN - 1])
@@ -117,20 +120,19 @@ def fingerprint(text: str | None) -> str:
                 h = (h << np.uint64(31)) | _mod(_mod(sums[width : width + spans] + PRIME - sums[:spans]) * inverse[:spans])
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(30)
-            cell, value = (h & np.uint64(CLASSES - 1)).astype(np.int64), h >> np.uint64(7)
-            by = np.argsort(cell, kind="stable")
-            edge = np.flatnonzero(np.diff(cell[by], prepend=-1))
-            here = cell[by][edge]
-            least[here] = np.minimum(least[here], np.minimum.reduceat(value[by], edge))
+            h.sort()
+            at_cell = np.minimum(np.searchsorted(h, _CELLS), len(h) - 1)
+            head = h[at_cell]  # the least hash of each class, or one of another class
+            np.minimum(least, np.where(head >> _SHIFT == _CELLS >> _SHIFT, head & _BELOW, _NONE), out=least)
         first = -(-(at + 1) // stride) * stride
         where = np.arange(first, at + new + 1, stride) - at
         scale = [pow(b, at, int(PRIME)) for b in BASES]
-        columns = [_mod(np.uint64(carried[w]) + _mod(local[w][where] * np.uint64(scale[w]))) for w in (0, 1)]
-        marks += [int(a) << 31 | int(b) for a, b in zip(*columns, strict=True)]
+        high, low = (_mod(np.uint64(carried[w]) + _mod(local[w][where] * np.uint64(scale[w]))) for w in (0, 1))
+        marks += (high << np.uint64(31) | low).astype(">u8").tobytes().hex()
         carried = [(carried[w] + int(local[w][new]) * scale[w]) % int(PRIME) for w in (0, 1)]
     whole = f"{n:x}.{carried[0] << 31 | carried[1]:016x}"
-    sketch = "".join("0000" if x == np.iinfo(np.uint64).max else f"{1 + int(x) % 65535:04x}" for x in least)
-    return f"{whole}.{stride:x}.{''.join(f'{m:016x}' for m in marks)}.{sketch}"
+    sketch = np.where(least == _NONE, 0, 1 + least % np.uint64(65535)).astype(">u2").tobytes().hex()
+    return f"{whole}.{stride:x}.{marks}.{sketch}"
 
 
 def likeness(a: str, b: str) -> float:
@@ -148,9 +150,8 @@ def likeness(a: str, b: str) -> float:
         mid = (lo + hi + 1) // 2
         lo, hi = (mid, hi) if mark(ma, sa, mid) == mark(mb, sb, mid) else (lo, mid - 1)
     prefix = lo * stride / max(na, nb)
-    x, y = ([k[i : i + 4] for i in range(0, 4 * CLASSES, 4)] for k in (ka, kb))
-    used = sum(p != "0000" or q != "0000" for p, q in zip(x, y, strict=True))
-    same = sum(p == q != "0000" for p, q in zip(x, y, strict=True))
+    x, y = (np.frombuffer(bytes.fromhex(k), dtype=">u2") for k in (ka, kb))
+    used, same = int(((x != 0) | (y != 0)).sum()), int(((x == y) & (x != 0)).sum())
     jaccard = same / used if used else 0.0
     return float(min(1.0, max(prefix, 2 * jaccard / (1 + jaccard))))
 
@@ -161,35 +162,33 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+LEAST = -(2**63)
+#: Quantiles come to the driver and go to every task: 8 bytes each.
+MOST_RANGES = 1 << 20
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", range_bytes: int = 1 << 26) -> DataFrame:
     """Each document's fingerprint against its edited text's and the next document's.
 
     The next document is that of the next smaller doc_id (after the last, the
     first; rows with one doc_id in text order). Ids are cut into ranges by
-    quantiles; a range's first row is also sent to the range before it, so each
-    row meets its successor within one sorted partition. Texts are shuffled once.
+    quantiles, one for every `range_bytes` of input or shuffle partition; a range's
+    first row is also sent to the range before it, so each row meets its successor
+    within one sorted partition. Texts are shuffled once. Rows with one id (or
+    none) are in one range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = spread(spark)
-    ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("key"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(spread(spark), min(MOST_RANGES, -(-size // range_bytes)) if size < 2**60 else 0)  # a larger size means that it is not known
+    ids = rows.select(F.coalesce("doc_id", F.lit(LEAST)).alias("key"))
     quantiles = ids.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else []
-    bounds = sorted(set(quantiles or []))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    # Range 0 has the largest ids: the number of bounds above the id.
-    ranged = rows.withColumn("range", _count_above(bounds, key).cast("int"))
-    ranges = ids.withColumn("range", _count_above(bounds, F.col("key")).cast("int"))
-    tops = [(r["range"], r["top"]) for r in ranges.groupBy("range").agg(F.max("key").alias("top")).sort("range").collect()]
-    before = {top: tops[i - 1][0] for i, (_, top) in enumerate(tops)}
-    goes = F.lit(None).cast("int")
-    if before:
-        table = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        goes = table[key]
-    ranged = ranged.withColumn("place", F.explode(F.filter(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(goes.cast("int").alias("range"), F.lit(1).alias("guest"))), lambda x: x["range"].isNotNull())))
-    ranged = ranged.select("doc_id", "text", "place.range", "place.guest")
+    bounds = np.array(sorted(set(quantiles or [])), dtype=np.int64)
+    tops = {r["range"]: r["top"] for r in map_arrow(ids, _place_ids(bounds), "range int, top long").groupBy("range").agg(F.max("top").alias("top")).collect()}
+    order = sorted(tops)  # range 0 has the largest ids
+    before = {tops[r]: p for p, r in zip([*order[-1:], *order[:-1]], order, strict=True)}
+    ranged = map_arrow(rows, _place_rows(bounds, before), "doc_id long, text string, range int, guest int")
     ranged = ranged.repartitionByRange(max(1, len(tops)), "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches):
@@ -224,15 +223,39 @@ def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     return map_arrow(ranged, run, _OUT)
 
 
-def _count_above(bounds: list[int], key) -> Column:
-    """Number of bounds greater than key: a binary search unrolled to nested conditions."""
-    if not bounds:
-        return F.lit(0)
+def _range_of(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The number of bounds above each id."""
+    return (len(bounds) - np.searchsorted(bounds, ids, "right")).astype(np.int32)
+
+
+def _place_ids(bounds: np.ndarray):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            where, back = np.unique(_range_of(ids, bounds), return_inverse=True)
+            top = np.full(len(where), LEAST, dtype=np.int64)
+            np.maximum.at(top, back, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(top, pa.int64())], ["range", "top"])
 
-    def search(lo: int, hi: int):  # answer is in lo..hi
-        if lo == hi:
-            return F.lit(len(bounds) - lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+    return run
 
-    return search(0, len(bounds))
+
+def _place_rows(bounds: np.ndarray, before: dict[int, int]):
+    """Adds range and guest; the rows of a range's largest id also go, as guests, to the range before it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).fill_null(LEAST).to_numpy()
+            guests = [(i, before[x]) for i, x in enumerate(ids.tolist()) if x in before]
+            own = [*batch.columns, pa.array(_range_of(ids, bounds), pa.int32()), pa.array(np.zeros(len(ids), dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "text", "range", "guest"])
+            if guests:
+                at = pa.array([i for i, _ in guests], pa.int64())
+                more = [*(c.take(at) for c in batch.columns), pa.array([p for _, p in guests], pa.int32()), pa.array([1] * len(guests), pa.int32())]
+                yield pa.RecordBatch.from_arrays(more, ["doc_id", "text", "range", "guest"])
+
+    return run
