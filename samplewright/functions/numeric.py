@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import lgamma
 
 import numpy as np
@@ -87,25 +88,47 @@ def butterworth(kind: str, cutoff: float, rate: float, order: int) -> np.ndarray
     return np.array(out)
 
 
-def sos_filter(sos: np.ndarray, x: np.ndarray, steady: bool = False) -> np.ndarray:
-    """Runs sections along the first axis of x (time, ...); `steady` starts as if x[0] had lasted for ever."""
-    y = np.array(x, dtype=float)
-    for b0, b1, b2, _, a1, a2 in sos:
-        z1 = np.zeros(y.shape[1:])
-        z2 = np.zeros(y.shape[1:])
-        if steady:
-            gain = (b0 + b1 + b2) / (1 + a1 + a2)
-            z2 = (b2 - a2 * gain) * y[0]
-            z1 = (b1 - a1 * gain) * y[0] + z2
-        out = np.empty_like(y)
+def _steps(sos: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sections over x (time x series), sample by sample, from states z (2 per section x series): (output, states)."""
+    y, z = np.array(x, dtype=float), np.array(z, dtype=float)
+    for s, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+        z1, z2 = z[2 * s], z[2 * s + 1]
         for i in range(len(y)):
-            v = y[i]
-            w = b0 * v + z1
-            z1 = b1 * v - a1 * w + z2
-            z2 = b2 * v - a2 * w
-            out[i] = w
-        y = out
-    return y
+            v = y[i].copy()
+            y[i] = b0 * v + z1
+            z1, z2 = b1 * v - a1 * y[i] + z2, b2 * v - a2 * y[i]
+        z[2 * s], z[2 * s + 1] = z1, z2
+    return y, z
+
+
+@lru_cache(maxsize=32)
+def _block_maps(sections: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What n samples do, as matrices: outputs and end states from (samples, states)."""
+    sos = np.frombuffer(sections).reshape(-1, 6)
+    states = 2 * len(sos)
+    unit = np.eye(n + states)
+    return _steps(sos, unit[:n], unit[n:])
+
+
+def sos_filter(sos: np.ndarray, x: np.ndarray, steady: bool = False, block: int = 256) -> np.ndarray:
+    """Runs sections along the first axis of x (time, ...); `steady` starts as if x[0] had lasted for ever.
+
+    A filter is linear, so a block of samples is one matrix product; states carry over from block to block.
+    """
+    shape = np.shape(x)
+    x = np.asarray(x, dtype=float).reshape(shape[0], -1)
+    z, level = np.zeros((2 * len(sos), x.shape[1])), x[0] if len(x) else np.zeros(x.shape[1])
+    for s, (b0, b1, b2, _, a1, a2) in enumerate(sos if steady else ()):
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        z[2 * s + 1] = (b2 - a2 * gain) * level
+        z[2 * s] = (b1 - a1 * gain) * level + z[2 * s + 1]
+        level = gain * level
+    out = np.empty_like(x)
+    for at in range(0, len(x), block):
+        part = np.concatenate([x[at : at + block], z])
+        to_out, to_state = _block_maps(np.ascontiguousarray(sos, dtype=float).tobytes(), len(part) - len(z))
+        out[at : at + block], z = to_out @ part, to_state @ part
+    return out.reshape(shape)
 
 
 def filtfilt(sos: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -47,7 +47,7 @@ def reject_epochs(spark, d):
     return rounded(artifacts.reject(views.trials(spark, d), _bad(spark, d)).select("epoch", "pos", "value"), "value")
 
 
-@query("SELECT epoch, pos, round(value, 6) + 0.0 AS value FROM trials t WHERE NOT EXISTS (SELECT 1 FROM trials x WHERE x.epoch = t.epoch AND abs(x.value) > 0.4)", "trials")
+@query("SELECT epoch, pos, round(value, 6) + 0.0 AS value FROM trials WHERE epoch NOT IN (SELECT epoch FROM trials WHERE abs(value) > 0.4)", "trials")
 def reject_flagged(spark, d):
     flagged = artifacts.extreme_values(views.trials(spark, d), ["value"], 0.4, out="hot")
     return rounded(artifacts.reject_flagged(flagged, ["hot"]).select("epoch", "pos", "value"), "value")
@@ -265,10 +265,10 @@ def model_categorical(spark, d):
 
 
 @query(
-    """WITH q AS (SELECT unnest([-0.5, 0.1, 0.33, 0.5, 2.0])::DOUBLE AS t), e AS (SELECT DISTINCT epoch FROM trials WHERE epoch < 50),
-a AS (SELECT e.epoch, t, max(time) FILTER (time <= t) AS t0, min(time) FILTER (time >= t) AS t1 FROM e, q, trials x WHERE x.epoch = e.epoch GROUP BY ALL)
-SELECT a.epoch, t AS time, round(CASE WHEN t0 IS NULL THEN y.value WHEN t1 IS NULL OR t0 = t THEN x.value ELSE x.value + (y.value - x.value) * (t - t0) / (t1 - t0) END, 6) + 0.0 AS value
-FROM a LEFT JOIN trials x ON x.epoch = a.epoch AND x.time = t0 LEFT JOIN trials y ON y.epoch = a.epoch AND y.time = t1""",
+    """WITH q AS (SELECT unnest([-0.5, 0.1, 0.33, 0.5, 2.0])::DOUBLE AS t),
+a AS (SELECT epoch, t, max(time) FILTER (time <= t) AS t0, min(time) FILTER (time >= t) AS t1 FROM trials, q GROUP BY ALL),
+b AS (SELECT a.*, max(value) FILTER (time = t0) AS v0, max(value) FILTER (time = t1) AS v1 FROM a JOIN trials x ON x.epoch = a.epoch AND (time = t0 OR time = t1) GROUP BY ALL)
+SELECT epoch, t AS time, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) + 0.0 AS value FROM b""",
     "trials",
 )
 def resample_times(spark, d):
@@ -299,17 +299,39 @@ def highpass(spark, d):
     return rounded(filters.highpass(views.trials(spark, d), 1.0, 64.0, ["epoch"], ["value"], by="pos"), "value")
 
 
-@query()
+@query(
+    """WITH w AS (SELECT n, 0.5 - 0.5 * cos(2 * pi() * n / 31) AS h FROM range(32) r(n)), f AS (SELECT k FROM range(17) r(k)), g AS (SELECT s FROM (VALUES (0), (16), (32)) v(s)),
+z AS (SELECT epoch, s, k, sum(value * h * cos(2 * pi() * k * n / 32)) AS re, sum(value * h * sin(2 * pi() * k * n / 32)) AS im FROM trials, w, f, g WHERE pos - 1 = s + n GROUP BY ALL),
+p AS (SELECT epoch, k, avg(re * re + im * im) / (64.0::DOUBLE * (SELECT sum(h * h) FROM w)) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS power FROM z GROUP BY epoch, k)
+SELECT epoch, 'value' AS channel, k * 2.0::DOUBLE AS freq, round(power, 6) + 0.0 AS power, round(10 * log10(greatest(power, 1e-10::DOUBLE)), 6) + 0.0 AS db FROM p""",
+    "trials",
+)
 def spectrum(spark, d):
     return rounded(filters.decibels(filters.spectrum(views.trials(spark, d), 64.0, ["epoch"], ["value"], by="pos", window_size=32)), "power", "db")
 
 
-@query()
+@query(
+    """WITH f AS (SELECT freq, 3 / (2 * pi() * freq) AS s, CAST(ceil(4 * 64 * 3 / (2 * pi() * freq)) AS INTEGER) AS h, CAST(ceil(3 / freq / 2 * 64) AS INTEGER) AS half FROM (VALUES (8.0::DOUBLE), (12.0), (16.0)) v(freq)),
+k AS (SELECT freq, s, half, unnest(range(-h, h + 1)) AS j FROM f),
+g AS (SELECT *, exp(-((j / 64.0::DOUBLE) ** 2) / (2 * s * s)) AS e FROM k),
+w AS (SELECT freq, half, j, 2 * e / sum(e) OVER (PARTITION BY freq) AS a, 2 * pi() * freq * j / 64.0::DOUBLE AS ph FROM g),
+z AS (SELECT t.condition, t.epoch, w.freq, w.half, t.pos - 1 + w.j AS i, sum(t.value * a * cos(ph)) AS re, sum(t.value * a * sin(ph)) AS im FROM trials t, w WHERE t.pos - 1 + w.j BETWEEN 0 AND 63 GROUP BY ALL),
+m AS (SELECT condition, freq, i, i < half OR i > 63 - half AS edge, avg(re * re + im * im) AS power, avg(re) AS re, avg(im) AS im, count(*) AS n_epochs FROM z GROUP BY ALL)
+SELECT condition, 'value' AS channel, i / 64.0::DOUBLE AS time, freq, CASE WHEN edge THEN 'NaN'::DOUBLE ELSE round(power, 6) + 0.0 END AS power, CASE WHEN edge THEN 'NaN'::DOUBLE ELSE round(atan2(im, re), 6) + 0.0 END AS phase, n_epochs FROM m""",
+    "trials",
+)
 def morlet(spark, d):
     return rounded(timefreq.morlet(views.trials(spark, d), [8.0, 12.0, 16.0], 64.0, ["value"], cycles=3), "power", "phase")
 
 
-@query()
+@query(
+    """WITH f AS (SELECT freq FROM (VALUES (8.0::DOUBLE), (16.0)) v(freq)), h AS (SELECT n, 0.5 - 0.5 * cos(2 * pi() * n / 31) AS h FROM range(32) r(n)),
+w AS (SELECT freq, n, h / sqrt((SELECT sum(h * h) FROM h)) * sqrt(2.0::DOUBLE / 32) AS a, -2 * pi() * freq * (n - 16) / 64.0::DOUBLE AS ph FROM f, h), c AS (SELECT unnest(range(0, 64, 3)) AS c),
+z AS (SELECT condition, epoch, freq, c, sum(value * a * cos(ph)) AS re, sum(value * a * sin(ph)) AS im FROM trials, w, c WHERE pos - 1 = c - 16 + n GROUP BY ALL),
+m AS (SELECT condition, freq, c, c < 16 OR c > 47 AS edge, avg(re * re + im * im) AS power, avg(re) AS re, avg(im) AS im, count(*) AS n_epochs FROM z GROUP BY ALL)
+SELECT condition, 'value' AS channel, c / 64.0::DOUBLE AS time, freq, CASE WHEN edge THEN 'NaN'::DOUBLE ELSE round(power, 6) + 0.0 END AS power, CASE WHEN edge THEN 'NaN'::DOUBLE ELSE round(atan2(im, re), 6) + 0.0 END AS phase, n_epochs FROM m""",
+    "trials",
+)
 def stft(spark, d):
     return rounded(timefreq.stft(views.trials(spark, d), [8.0, 16.0], 64.0, ["value"], window_length=0.5), "power", "phase")
 
@@ -384,6 +406,7 @@ def linear_map(spark, d):
     return rounded(out, "Q", "D")
 
 
-@query()
+# The 0.975 quantiles of Student's t, as printed in any table.
+@query("SELECT df::INTEGER AS df, t::DOUBLE AS t FROM (VALUES (1, 12.706205), (2, 4.302653), (5, 2.570582), (9, 2.262157), (30, 2.042272), (120, 1.97993)) v(df, t)")
 def t_quantiles(spark, d):
     return spark.createDataFrame([(df, round(num.t_quantile(0.975, df), 6)) for df in (1, 2, 5, 9, 30, 120)], "df int, t double")

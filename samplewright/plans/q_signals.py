@@ -194,12 +194,12 @@ def value_limits(spark, d):
     return rounded(select.value_limits(views.multich(spark, d), ["Q", "D", "T"]), "low", "high")
 
 
-@query("SELECT * FROM (SELECT participant, sample, time, triggers, round(value, 6) + 0.0 AS value FROM recording WHERE participant = 7 ORDER BY sample LIMIT 5)", "recording")
+@query("SELECT * FROM (SELECT participant, sample, time, triggers, round(value, 6) + 0.0 AS value FROM recording ORDER BY participant, sample LIMIT 5)", "recording")
 def head(spark, d):
     return rounded(select.head(views.recording(spark, d), by=("participant", "sample")), "value")
 
 
-@query("SELECT * FROM (SELECT participant, sample, time, triggers, round(value, 6) + 0.0 AS value FROM recording WHERE participant = 7 ORDER BY sample DESC LIMIT 5)", "recording")
+@query("SELECT * FROM (SELECT participant, sample, time, triggers, round(value, 6) + 0.0 AS value FROM recording ORDER BY participant DESC, sample DESC LIMIT 5)", "recording")
 def tail(spark, d):
     return rounded(select.tail(views.recording(spark, d), by=("participant", "sample")), "value")
 
