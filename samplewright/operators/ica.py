@@ -8,9 +8,11 @@ from dataclasses import dataclass, replace
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numeric as num
 from .process import linear_map
+from .series import ship
 
 
 @dataclass(frozen=True)
@@ -82,20 +84,77 @@ def infomax(x: np.ndarray, n: int, extended: bool = False, steps: int = 512, rat
     return unmixing[by], mixing[:, by], mean, scale, variance[by] / variance.sum()
 
 
-def run_ica(df: DataFrame, names: Sequence[str], n_components: int | None = None, percentage: float = 100.0, extended: bool = False, keys: Sequence[str] = ("sample",), max_rows: int = 200_000, seed: int = 0, **options) -> Ica:
-    """Fits on distinct samples of one recording: a share of them, at most `max_rows` (a documented bound on what is collected)."""
-    names = list(names)
+_MODEL = "mean array<double>, scale double, unmixing array<array<double>>, mixing array<array<double>>, variance array<double>, artifacts array<int>, projection array<array<double>>, offset array<double>"
+
+
+def fit_each(
+    df: DataFrame,
+    names: Sequence[str],
+    keys: Sequence[str],
+    order: Sequence[str] = ("sample",),
+    n_components: int | None = None,
+    percentage: float = 100.0,
+    extended: bool = False,
+    seed: int = 0,
+    remove: Sequence[int] | None = None,
+    eog: Sequence[str] = (),
+    rate: float | None = None,
+    detect: dict | None = None,
+    **options,
+) -> DataFrame:
+    """One model per recording: keys, matrices, artifact components, and the map (projection, offset) that removes them.
+
+    Each recording is fitted in one Arrow group, on its samples in the order of
+    `order`, so results do not depend on partitions. `percentage` below 100 takes that
+    share of the samples at random. Artifact components are `remove`, or those that
+    `identify` finds with the channels `eog` and the sample rate.
+    """
+    names, keys, order, eog = list(names), list(keys), list(order), [e for e in eog if e in df.columns]
     n = n_components or max(1, len(names) - 1)
     if n > len(names):
         raise ValueError("more components than channels")
-    rows = df.dropDuplicates(list(keys)) if keys else df
-    total = rows.count()
-    share = min(percentage / 100.0, max_rows / max(1, total))
-    order = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30))
-    rows = rows.filter(order < int(share * (1 << 30))) if share < 1 and keys else rows
-    x = rows.select(*names).toPandas().to_numpy(dtype=float)
-    unmixing, mixing, mean, scale, variance = infomax(x, n, extended, seed=seed, **options)
-    return Ica(tuple(names), unmixing, mixing, mean, scale, variance)
+    columns = list(dict.fromkeys([*keys, *order, *names, *eog]))
+    schema = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(_MODEL).fields)
+    ship(df)
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by([(c, "ascending") for c in order])
+        column = lambda c: table.column(c).to_numpy(zero_copy_only=False).astype(float)
+        x = np.column_stack([column(c) for c in names])
+        rng = np.random.default_rng(seed)
+        part = x if percentage >= 100 else x[np.sort(rng.permutation(len(x))[: max(n + 1, round(len(x) * percentage / 100))])]
+        unmixing, mixing, mean, scale, variance = infomax(part, n, extended, seed=seed, **options)
+        model = Ica(tuple(names), unmixing, mixing, mean, scale, variance)
+        found = list(remove) if remove is not None else identify(model, (x - mean) / scale @ unmixing.T, {c: column(c) for c in eog}, rate, **(detect or {}))["all"]
+        proj = mixing[:, found] @ unmixing[found] if found else np.zeros((len(names), len(names)))
+        values = [mean.tolist(), float(scale), unmixing.tolist(), mixing.tolist(), variance.tolist(), found, proj.tolist(), (proj @ mean).tolist()]
+        kinds = [pa.list_(pa.float64()), pa.float64(), *[pa.list_(pa.list_(pa.float64()))] * 2, pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64())]
+        cols = {k: table.column(k).slice(0, 1) for k in keys}
+        return pa.table(cols | {f.name: pa.array([v], kind) for f, v, kind in zip(schema.fields[len(keys) :], values, kinds, strict=True)})
+
+    return df.select(*columns).groupBy(*keys).applyInArrow(run, schema)
+
+
+def remove_each(df: DataFrame, models: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Removes each recording's artifact components by its own model: one join (models are a row per recording) and one projection."""
+    keys, names = list(keys), list(names)
+    joined = df.join(models.select(*keys, F.col("projection").alias("ica projection"), F.col("offset").alias("ica offset")), keys, "left")
+    clean = {}
+    for i, n in enumerate(names):
+        part = F.lit(0.0)
+        for j, m in enumerate(names):
+            part = part + F.col("ica projection")[i][j] * F.col(m)
+        clean[n] = F.coalesce(F.col(n) - part + F.col("ica offset")[i], F.col(n))
+    return joined.select(*[clean[c].alias(c) if c in clean else F.col(c) for c in df.columns])
+
+
+def run_ica(df: DataFrame, names: Sequence[str], n_components: int | None = None, percentage: float = 100.0, extended: bool = False, keys: Sequence[str] = ("sample",), seed: int = 0, **options) -> Ica:
+    """The model of one recording, fitted on its distinct samples by one task; only the matrices reach the driver."""
+    rows = df.dropDuplicates(list(keys)).select(F.lit(0).alias("recording"), *dict.fromkeys([*keys, *names]))
+    r = fit_each(rows, names, ["recording"], keys, n_components, percentage, extended, seed, remove=(), **options).first()
+    return Ica(tuple(names), np.array(r["unmixing"]), np.array(r["mixing"]), np.array(r["mean"]), r["scale"], np.array(r["variance"]))
 
 
 def activations(df: DataFrame, ica: Ica, keep: Sequence[str]) -> DataFrame:
@@ -132,26 +191,41 @@ def _z(values: np.ndarray) -> np.ndarray:
     return (values - values.mean()) / sd if sd else np.zeros(len(values))
 
 
+def _standing_out(r: np.ndarray, z_threshold: float, min_correlation: float) -> list[int]:
+    z = _z(r)
+    return [i for i in range(len(r)) if r[i] > min_correlation and (z[i] > z_threshold or r[i] > 0.9)]
+
+
 def eog_components(act: DataFrame, ica: Ica, eog: Sequence[str] = ("vEOG", "hEOG"), z_threshold: float = 3.0, min_correlation: float = 0.5) -> dict[str, list[int]]:
     """Components whose |r| with an EOG channel is high and stands out. `act` holds activations and EOG."""
     row = act.agg(*[F.corr(label, e).alias(f"{label}|{e}") for label in ica.labels for e in eog]).first()
+    return {e: _standing_out(np.array([abs(row[f"{label}|{e}"] or 0.0) for label in ica.labels]), z_threshold, min_correlation) for e in eog}
+
+
+def identify(model: Ica, act: np.ndarray, eog: dict[str, np.ndarray], rate: float | None = None, eog_z: float = 3.0, eog_r: float = 0.5, kurtosis_z: float = 3.0, line: float = 50.0, line_z: float = 3.0) -> dict[str, list[int]]:
+    """All artifact components of a recording in one call: by EOG channel, then ecg, line_noise (both need the rate), kurtosis, and all of them."""
     out = {}
-    for e in eog:
-        r = np.array([abs(row[f"{label}|{e}"] or 0.0) for label in ica.labels])
-        z = _z(r)
-        out[e] = [i for i in range(len(r)) if r[i] > min_correlation and (z[i] > z_threshold or r[i] > 0.9)]
-    return out
+    for name, x in eog.items():
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.array([abs(np.corrcoef(a, x)[0, 1]) for a in act.T])
+        out[name] = _standing_out(np.nan_to_num(r), eog_z, eog_r)
+    if rate:
+        out["ecg"] = ecg_components(act, rate)
+        out["line_noise"] = line_noise_components(act, rate, line, z_threshold=line_z)
+    out["spatial_kurtosis"] = spatial_kurtosis_components(model, kurtosis_z)
+    return out | {"all": combine(*out.values())}
 
 
 def find_peaks(x: np.ndarray, prominence: float = 2.0, window: int = 1) -> np.ndarray:
     """Strict local extrema beyond mean +- prominence standard deviations."""
     mean, sd = x.mean(), x.std(ddof=1)
-    out = []
-    for i in range(window, len(x) - window):
-        near = np.concatenate([x[i - window : i], x[i + 1 : i + window + 1]])
-        if (x[i] > near.max() and x[i] > mean + prominence * sd) or (x[i] < near.min() and x[i] < mean - prominence * sd):
-            out.append(i)
-    return np.array(out, dtype=int)
+    if len(x) <= 2 * window:
+        return np.zeros(0, dtype=int)
+    inner = x[window : len(x) - window]
+    near = np.stack([x[window + d : len(x) - window + d] for d in range(-window, window + 1) if d])
+    high = (inner > near.max(axis=0)) & (inner > mean + prominence * sd)
+    low = (inner < near.min(axis=0)) & (inner < mean - prominence * sd)
+    return np.flatnonzero(high | low) + window
 
 
 def beat_metrics(peaks: np.ndarray, rate: float, lo: float, hi: float) -> dict[str, float]:

@@ -37,7 +37,8 @@ def preprocess(
     """Reference, filters, EOG, extreme samples, bad channels, components, epochs, two rejections with repair between.
 
     `positions` is a layout with x2 and y2. `from_raw` is off for recordings that
-    are referenced and filtered already. Each transform covers all recordings.
+    are referenced and filtered already. Each transform covers all recordings; components
+    are fitted, identified and removed for each recording by itself.
     """
     c = config or cfg.defaults()
     p, names, keys = c["preprocess"], list(names), [key]
@@ -66,11 +67,8 @@ def preprocess(
     edges = layout.neighbours(positions, p["neighbour_criterion"])
     bad = artifacts.repairable(bad, edges, keys)
     if c["ica"]["apply"]:
-        model = ica.run_ica(good, names, percentage=c["ica"]["percentage"], keys=(key, "sample"))
-        if has_eog:
-            act = ica.activations(good, model, [key, "vEOG", "hEOG"])
-            found = ica.eog_components(act, model)
-            x = with_eog(ica.remove_components(x, model, ica.combine(*found.values()))[0])
+        models = ica.fit_each(good, names, keys, ("sample",), percentage=c["ica"]["percentage"], eog=("vEOG", "hEOG") if has_eog else (), rate=rate)
+        x = with_eog(ica.remove_each(x, models, names, keys))
     weights = layout.weight_map(edges)
     x = artifacts.repair_epochs(x, names, bad.filter("repairable").select(key, "channel"), weights, keys)
     x = artifacts.extreme_values(with_eog(x), names, p["extreme_value"], out="is_extreme_value")

@@ -344,8 +344,9 @@ def multitaper(spark, d):
 @query()
 def ica_clean(spark, d):
     rows = views.multich(spark, d).withColumn("p", F.col("P") / 1000)
-    model = ica.run_ica(rows, ["Q", "p", "D", "T"], keys=("epoch", "pos"))
-    return rounded(ica.remove_components(rows, model, [0])[0].select("epoch", "pos", "Q", "p", "D", "T"), "Q", "p", "D", "T", digits=4)
+    names = ["Q", "p", "D", "T"]
+    models = ica.fit_each(rows, names, ["participant"], ("epoch", "pos"), remove=(0,))
+    return rounded(ica.remove_each(rows, models, names, ["participant"]).select("participant", "epoch", "pos", *names), *names, digits=4)
 
 
 @query()

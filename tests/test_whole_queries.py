@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 from oracle import connect
+from pyspark.sql import functions as F
 
 from samplewright.operators import decode, ica
 from samplewright.plans import catalog
+from samplewright.sources import views
 
 
 @pytest.fixture(scope="module")
@@ -62,21 +64,25 @@ def test_problems_solved_together_are_as_alone():
     assert np.allclose(got, [one_svm(x[r], s) for r, s in zip(rows, y, strict=True)], atol=1e-9)
 
 
-def test_ica_is_fitted_on_all_samples_with_default_steps(spark, sf_dir, con, monkeypatch):
-    seen = []
-
-    def fit(x, *a, f=ica.infomax, **kw):
-        seen.append((x, kw, f(x, *a, **kw)))
-        return seen[-1][2]
-
-    monkeypatch.setattr(ica, "infomax", fit)
-    got = catalog.QUERIES["ica_clean"](spark, sf_dir).toPandas()
-    (x, options, (unmixing, mixing, mean, *_)) = seen[0]
-    n = con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
-    assert len(x) == len(got) == min(n, 200_000) and "steps" not in options
-    clean = x - (x - mean) @ (mixing[:, :1] @ unmixing[:1]).T
-    order = lambda v: np.sort(np.round(v, 3), axis=0)
-    assert np.abs(order(clean) - order(got[["Q", "p", "D", "T"]].to_numpy())).max() < 2e-3
+def test_ica_is_fitted_on_all_samples_of_each_recording(spark, sf_dir):
+    rows = views.multich(spark, sf_dir).withColumn("p", F.col("P") / 1000).toPandas().sort_values(["participant", "epoch", "pos"])
+    names, spent = ["Q", "p", "D", "T"], {}
+    got = {k: x.set_index(["epoch", "pos"])[names] for k, x in catalog.QUERIES["ica_clean"](spark, sf_dir).toPandas().groupby("participant")}
+    for k, part in rows.groupby("participant"):
+        x = part[names].to_numpy(dtype=float)
+        unmixing, mixing, mean, *_ = ica.infomax(x, 3)
+        spent[k] = unmixing
+        clean = x - (x - mean) @ (mixing[:, :1] @ unmixing[:1]).T
+        assert np.abs(got[k].loc[list(zip(part.epoch, part.pos, strict=True))].to_numpy() - clean).max() < 2e-4
+    assert len(got) == len(spent) > 1 and not np.allclose(*list(spent.values())[:2])  # models differ
+
+
+def test_ica_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(0)
+    mixed = rng.laplace(size=(900, 3)) @ rng.normal(size=(3, 3))
+    rows = spark.createDataFrame([(int(i % 2), int(i), *map(float, v)) for i, v in enumerate(mixed)], "recording int, sample int, a double, b double, c double")
+    fits = [ica.fit_each(rows.repartition(n), ["a", "b", "c"], ["recording"], n_components=3, percentage=60, steps=40, remove=()).orderBy("recording").collect() for n in (1, 5)]
+    assert fits[0] == fits[1] and fits[0][0]["unmixing"] != fits[0][1]["unmixing"]
 
 
 @pytest.mark.parametrize("name", ["head", "tail"])
