@@ -180,13 +180,21 @@ def chance_clusters(decoded: DataFrame, alpha: float = 0.05, n_permutations: int
     size = lambda t, m: float(t[m].sum()) if statistic == "sum" else float(m.sum())
     near = np.eye(1, dtype=bool)
     runs = lambda t: [m[0] for m in find_clusters((t > high)[None, :], near, "temporal")]
+    perms = spark.range(n_permutations)
+    ship(perms)
+    shared = spark.sparkContext.broadcast(d)  # participants x times of one study
+
+    def flipped(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            signs = [np.random.default_rng([seed, p]).choice([-1.0, 1.0], len(shared.value))[:, None] for p in ids]
+            maps = [one(shared.value * s) for s in signs]
+            yield pa.RecordBatch.from_arrays([pa.array([max([size(z, m) for m in runs(z)], default=0.0) for z in maps], pa.float64())], ["most"])
+
     t = one(d)
-    rng = np.random.default_rng(seed)
-    null = []
-    for _ in range(n_permutations):
-        z = one(d * rng.choice([-1.0, 1.0], len(d))[:, None])
-        null.append(max([size(z, m) for m in runs(z)], default=0.0))
-    null = np.array(null)
+    null = np.array([r["most"] for r in perms.mapInArrow(flipped, "most double").collect()])  # one number per permutation
     rows = []
     for m in runs(t):
         s = size(t, m)

@@ -168,6 +168,86 @@ def _extremes(t, high, low, near, kind, least, tail):
     return best
 
 
+def _null_maps(perms: DataFrame, shared, design: str, seed: int, tail: str):
+    """Arrow batches of permutation numbers -> their t maps (absolute for both tails), one after another."""
+
+    def maps(batches):
+        x, y, _ = shared.value
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                t = t_map(*shuffled(x, y, design, seed, p), design).ravel()
+                yield np.abs(t) if tail == "both" else t
+
+    return maps
+
+
+def _point_quantiles(perms: DataFrame, maps, q: float, shape: tuple[int, int]) -> np.ndarray:
+    """The q quantile of each point's values over all permutations: exact, one aggregate."""
+
+    def values(batches):
+        import pyarrow as pa
+
+        for t in maps(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(t))), pa.array(t)], ["point", "t"])
+
+    rows = perms.mapInArrow(values, "point long, t double").filter(~F.isnan("t"))
+    out = np.full(shape[0] * shape[1], np.nan)
+    for r in rows.groupBy("point").agg(F.percentile("t", F.lit(q)).alias("t")).collect():  # one number per point
+        out[r["point"]] = r["t"]
+    return out.reshape(shape)
+
+
+def _pooled_quantile(perms: DataFrame, maps, q: float, bins: int = 1 << 12, few: int = 1 << 14) -> float:
+    """The q quantile of all values of all permutations' maps: exact (linear between two order statistics).
+
+    Tasks return histograms of the range that holds the order statistic; it shrinks
+    to a bin each time, until a few values are left in it, and these are returned.
+    """
+
+    def gathered(lo: float, hi: float, keep: bool):
+        def task(batches):
+            import pyarrow as pa
+
+            hist, below, inside = np.zeros(bins, dtype=np.int64), 0, []
+            for t in maps(batches):
+                t = t[~np.isnan(t)]
+                below += int((t < lo).sum())
+                v = t[(t >= lo) & (t <= hi)]
+                if keep:
+                    inside += v.tolist()
+                hist += np.bincount(np.searchsorted(edges(lo, hi), v, "right"), minlength=bins)
+            yield pa.RecordBatch.from_arrays([pa.array([hist.tolist()]), pa.array([below]), pa.array([inside], pa.list_(pa.float64()))], ["hist", "below", "inside"])
+
+        got = perms.mapInArrow(task, "hist array<long>, below long, inside array<double>").collect()
+        return np.sum([r["hist"] for r in got], axis=0), sum(r["below"] for r in got), sorted(x for r in got for x in r["inside"])
+
+    def edges(lo: float, hi: float) -> np.ndarray:
+        """Inner edges of the bins: bin i holds edge i - 1 <= x < edge i."""
+        if np.isfinite(lo) and np.isfinite(hi):
+            return np.linspace(lo, hi, bins + 1)[1:-1]
+        return np.concatenate([-np.geomspace(1e9, 1e-3, bins // 2), np.geomspace(1e-3, 1e9, bins - 1 - bins // 2)])
+
+    def statistic(k: int) -> float:
+        lo, hi = -np.inf, np.inf
+        while True:
+            hist, below, _ = gathered(lo, hi, False)
+            total = below + np.cumsum(hist)
+            b = int(np.searchsorted(total, k, "right"))
+            inner = np.concatenate([[lo], edges(lo, hi), [hi]])
+            narrow = (max(lo, inner[b]), min(hi, inner[b + 1]))
+            if hist[b] <= few or narrow == (lo, hi) or narrow[0] == narrow[1]:
+                _, below, inside = gathered(*narrow, True) if hist[b] <= few else (None, 0, None)
+                return inside[k - below] if inside else narrow[0]
+            lo, hi = narrow
+
+    n = int(gathered(-np.inf, np.inf, False)[0].sum())
+    if not n:
+        return float("nan")
+    at = q * (n - 1)
+    a, b = (statistic(int(k)) for k in (np.floor(at), np.ceil(at)))
+    return a + (b - a) * (at - np.floor(at)) if np.isfinite(b - a) else b
+
+
 def permutation_test(
     prepared: DataFrame,
     edges: Sequence[tuple[str, str]] = (),
@@ -184,7 +264,7 @@ def permutation_test(
     """Clusters with p values: id, polarity, channels, times, stat, p, significant.
 
     Thresholds: parametric, nonparametric_common (one quantile of pooled |t|) or
-    nonparametric_individual (a quantile per point).
+    nonparametric_individual (a quantile per point), over the maps of all permutations.
     """
     spark = prepared.sparkSession
     a, b, names, times = block(prepared)
@@ -200,11 +280,10 @@ def permutation_test(
     shared = spark.sparkContext.broadcast((a, b, near))
     if threshold_method == "parametric":
         high = num.t_quantile(level, df)
-    else:  # a bounded pool: at most 1000 permutations' maps
-        pool = np.array([t_map(*shuffled(a, b, design, seed, p)) for p in range(min(n_permutations, 1000))])
-        pool = np.abs(pool) if tail == "both" else pool
+    else:
         q = 1 - threshold if tail == "both" else level
-        high = np.nanquantile(pool, q) if threshold_method == "nonparametric_common" else np.nanquantile(pool, q, axis=0)
+        maps = _null_maps(perms, shared, design, seed, tail)
+        high = _pooled_quantile(perms, maps, q) if threshold_method == "nonparametric_common" else _point_quantiles(perms, maps, q, a.shape[1:])
     low = -high
 
     def run(batches):

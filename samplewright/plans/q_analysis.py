@@ -253,7 +253,13 @@ def rdm_compare_models(spark, d):
     return rounded(rsa.compare_models(m, {"distance": model}, n_permutations=200), "r", "p")
 
 
-@query()
+@query(
+    """WITH f AS (SELECT *, dense_rank() OVER (PARTITION BY condition ORDER BY epoch) % 3 AS fold FROM trials), s AS (SELECT split FROM range(3) r(split)),
+p AS (SELECT split, fold = split AS held, condition, pos, avg(value) AS v FROM f, s GROUP BY ALL),
+x AS (SELECT a.split, a.condition AS a, b.condition AS b, sqrt(sum((a.v - b.v) ** 2)) AS d FROM p a JOIN p b ON a.split = b.split AND a.pos = b.pos AND NOT a.held AND b.held AND a.condition <> b.condition GROUP BY ALL)
+SELECT 0.0::DOUBLE AS time, least(a, b) AS i, greatest(a, b) AS j, round(avg(d), 6) + 0.0 AS d FROM x GROUP BY ALL""",
+    "trials",
+)
 def rdm_crossvalidated(spark, d):
     rows = views.trials(spark, d).select(F.lit(0.0).alias("time"), "condition", "epoch", F.col("pos").alias("channel"), "value")
     return rounded(rsa.crossvalidated(rows, "euclidean", "kfold", n_folds=3), "d")

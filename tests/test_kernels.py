@@ -123,6 +123,28 @@ def test_cluster_test_against_all_sign_flips(spark):
         assert stats.permutation_test(prep, [("c0", "c1")], n_permutations=50, threshold_method=method, min_num_neighbors=1).count() >= 0
 
 
+@pytest.mark.parametrize("design", ["paired", "independent"])
+def test_thresholds_come_from_all_permutations(spark, design):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(7, 2, 5)), rng.normal(size=(7, 2, 5))
+    perms = spark.range(1500).repartition(5)
+    shared = spark.sparkContext.broadcast((a, b, None))
+    pool = np.abs([stats.t_map(*stats.shuffled(a, b, design, 3, p), design) for p in range(1500)])
+    maps = stats._null_maps(perms, shared, design, 3, "both")
+    for q in (0.5, 0.95, 0.999):
+        assert abs(stats._pooled_quantile(perms, maps, q, bins=16, few=50) - np.quantile(pool, q)) < 1e-12
+        assert abs(stats._pooled_quantile(perms, maps, q) - np.quantile(pool, q)) < 1e-12
+        assert np.abs(stats._point_quantiles(perms, maps, q, (2, 5)) - np.quantile(pool, q, axis=0)).max() < 1e-12
+
+
+def test_chance_clusters_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(p, float(t), 0.5 + float(rng.normal(0.02 + 0.1 * (3 <= t < 7), 0.05)), 0.5) for p in range(12) for t in range(10)]
+    people = spark.createDataFrame(rows, "participant int, time double, accuracy double, chance double")
+    got = [decode.chance_clusters(x, n_permutations=300).collect() for x in (people, people.repartition(7))]
+    assert got[0] == got[1] and min(r["p"] for r in got[0]) < 0.05
+
+
 def test_analytic_t_edge_cases(spark):
     a = np.zeros((3, 1, 3))
     a[:, 0, 1] = 1.0
