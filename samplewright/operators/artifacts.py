@@ -80,6 +80,11 @@ def reject_flagged(df: DataFrame, flags: Sequence[str], keys: Sequence[str] = ("
     return reject(df, bad, keys)
 
 
+def unique_rejections(bad: DataFrame, by: Sequence[str] = ("channel", "epoch")) -> DataFrame:
+    """The distinct channels, trials or pairs of a table of rejections."""
+    return bad.select(*by).distinct()
+
+
 def subset_bad_data(df: DataFrame, table: DataFrame, threshold: float, participant: str = "participant") -> DataFrame:
     """Drops participants with a condition whose kept percentage is below the threshold."""
     return df.join(table.filter(F.col("percentage") < threshold).select(participant).distinct(), participant, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_analysis, q_averages, q_signals  # noqa: F401  (they register themselves)
+from . import q_analysis, q_averages, q_signals, q_tables  # noqa: F401  (they register themselves)
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "mean_amplitude"
