@@ -135,7 +135,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text",
     at = {c: k for k, c in names.items()}
     kept = decide(docs, index or new_index(docs.sparkSession), text, doc_id, batch).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
     tagged = docs.toDF(*names).withColumn("own_digest", digest(at[text]))
-    out = tagged.join(cut(kept, "kept"), F.col(at[doc_id]).eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")), "left_semi")
+    out = tagged.join(cut(kept, "kept").hint("merge"), F.col(at[doc_id]).eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")), "left_semi")
     if not docs.groupBy(doc_id).count().filter("count > 1").isEmpty():  # only then can one key stand for several rows
         out = out.dropDuplicates([at[doc_id], "own_digest"])
     return out.select(*[F.col(k).alias(c) for k, c in names.items()])

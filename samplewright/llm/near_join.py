@@ -375,7 +375,8 @@ def near_duplicates(
     whole = F.array(F.struct(F.lit(-1).alias("tree"), F.col("comp").alias("grp"), "blocks"))
     members = cut(members.join(_by_nodes(members, nodes, trees, block, hashes), "rep", "left").withColumn("units", F.coalesce("units", whole)), "units")
     texts = docs.select(F.col(doc_id).cast("long").alias("own_id"), F.col(text).alias("text")).withColumn("own_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = texts.join(members, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_key") == F.col("text_key")))
+    # Sorted and merged at every size: a table of members that may be broadcast in one run would make costs differ.
+    texts = texts.join(members.hint("merge"), F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_key") == F.col("text_key")))
     units = _sets(texts, words).select("rep", "copies", "hashes", "nodes", F.explode("units").alias("unit")).select("rep", "copies", "hashes", "nodes", "unit.*")
     units = units.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -408,7 +409,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     kept = near_duplicates(docs, text=text, doc_id=doc_id, **kw).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
     tagged = docs.toDF(*names).withColumn("own_key", F.xxhash64(F.coalesce(at[text], F.lit(""))))
     same = F.col(at[doc_id]).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
-    out = tagged.join(cut(kept, "kept"), same, "left_semi")
+    out = tagged.join(cut(kept, "kept").hint("merge"), same, "left_semi")
     if not docs.groupBy(doc_id).count().filter("count > 1").isEmpty():  # only then can one key stand for several rows
         out = out.dropDuplicates([at[doc_id], "own_key"])
     return out.select(*[F.col(k).alias(c) for k, c in names.items()])
