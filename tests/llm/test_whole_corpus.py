@@ -64,3 +64,56 @@ def test_an_index_keeps_its_bucket_count(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, path, 7)
     assert index.buckets == 4
     assert exact_dedup.decide(one, index).filter("kept").count() == 0 and index.read().count() == 200
+
+
+EXTRA = ["_size", "_d", "_tk", "_id", "_p", "c0", "key", "order_key", "rank", "first", "pass", "copies", "kept_id", "kept_key", "own_digest", "nearest", "score", "rep", "row", "digest", "of", "in", "node", "start"]
+
+
+def odd_documents(spark):
+    base = "the cat sat on the mat and the dog lay by the door while rain fell on the roof of the old house by the river "
+    rows = [
+        (1, None, "en", "a", None), (2, "", None, "a", 0), (3, "12 34", "en", None, 5), (None, base + "one", "en", "b", 1), (None, base + "one", "en", "b", 1), (None, None, None, None, None),
+        (4, base.upper() + "ONE", "en", "b", 1), (5, base * 300, "en", None, 9), (6, base * 300 + "end", None, None, 9), (7, "der hund und die katze liegen vor dem haus und schlafen", "de", "a", 2), (7, "der hund und die katze liegen vor dem haus und schlafen", "de", "a", 2),
+        (8, "le chat et le chien dorment devant la maison avec la souris", "fr", "c", 3), (8, "ein anderer text mit derselben nummer und anderen worten darin", "de", "c", 3), (9, base + "two", "en", "c", 4),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_every_stage_on_odd_documents(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, and extra columns with names the stages might use themselves."""
+    import corpus_pipeline as cp
+
+    now = odd_documents(spark).select("*", *[F.lit(i).alias(c) for i, c in enumerate(EXTRA)])
+    sizes = {}
+    for name, stage in cp.STAGES:
+        stage(spark, now, "").write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert name == "packing" or out.columns == now.columns
+        sizes[name] = out.count()
+        now = out
+        if name == "near_dedup":
+            rows = now.collect()
+            assert all([r[c] for c in EXTRA] == list(range(len(EXTRA))) for r in rows)
+            kept = sorted(r["text"] for r in rows)
+    assert sizes["language"] == 10  # not the null and empty texts, nor the one without a letter
+    assert sizes["exact_dedup"] == 7 and sizes["near_dedup"] == len(set(kept)) == 4  # all with the English base are one class: 20 of 25 runs and more
+    assert 0 < sizes["mixing"] <= 15 and sizes["packing"] > 0
+
+
+def test_every_stage_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    now = odd_documents(spark).filter("false")
+    for name, stage in cp.STAGES:
+        out = stage(spark, now, "")
+        assert out.count() == 0
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+
+
+def test_mixing_ties_do_not_change_places(spark):
+    """Rows of one id, source and size, told apart by their texts alone: the same ones are taken however they lie."""
+    rows = [(7 if i % 3 else None, f"w{i} x y", "ab"[i % 2]) for i in range(400)] + [(7, "same same same", "a")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [mixing.mix(x).collect() for x in (docs, docs.repartition(5), docs.orderBy("text"))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 300
