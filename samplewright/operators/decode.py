@@ -49,27 +49,104 @@ def svms(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 1.0, roun
     return out
 
 
-def classify(folds: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], cost: float = 1.0) -> list[np.ndarray]:
-    """Classes of each fold's (train, labels, test) by one-versus-one votes over standardised features; the lower class wins ties."""
-    xs, tests, votes, problems, at = [], [], [], {}, 0
-    for f, (train, labels, test) in enumerate(folds):
-        mean, sd = train.mean(axis=0), train.std(axis=0, ddof=1)
-        sd[sd == 0] = 1
-        xs.append((train - mean) / sd)
-        tests.append((test - mean) / sd)
-        classes = np.unique(labels)
-        votes.append((classes, np.zeros((len(test), len(classes)))))
-        for i, j in combinations(range(len(classes)), 2):
-            rows = np.flatnonzero((labels == classes[i]) | (labels == classes[j]))
-            problems.setdefault(len(rows), []).append((f, i, j, rows + at, np.where(labels[rows] == classes[i], 1.0, -1.0)))
-        at += len(train)
-    for same in problems.values():
-        found = svms(np.vstack(xs), np.stack([p[3] for p in same]), np.stack([p[4] for p in same]), cost)
-        for (f, i, j, *_), w in zip(same, found, strict=True):
-            first = tests[f] @ w[:-1] + w[-1] >= 0
-            votes[f][1][first, i] += 1
-            votes[f][1][~first, j] += 1
-    return [classes[v.argmax(axis=1)] for classes, v in votes]
+def _box(a: np.ndarray, fixed: np.ndarray, cost: float, tol: float, most: int = 80) -> np.ndarray:
+    """Weights fixed + a'alpha, 0 <= alpha <= cost, with the least |w|^2 / 2 + cost * hinge: a primal-dual interior point method.
+
+    Rows of a are trials times their labels. A step is one product of (columns x columns).
+    """
+    kind = a.dtype.type
+    alpha = np.full(len(a), kind(cost / 2))
+    beta = alpha.copy()  # cost - alpha
+    w, eye = fixed + alpha @ a, np.eye(a.shape[1], dtype=a.dtype)
+    r = a @ w - 1
+    s = np.maximum(r, 0) + kind(0.1)
+    t = s - r
+
+    def reach(da, ds, dt):
+        worst = max(float((x / y).max()) for x, y in ((-da, alpha), (da, beta), (-ds, s), (-dt, t)))
+        return 1 / worst if worst > 1 else 1.0
+
+    for _ in range(most):
+        r = a @ w - 1
+        gap = float(alpha @ s + beta @ t)
+        if gap <= tol * max(1.0, float(cost * np.maximum(-r, 0).sum() + w @ w / 2)):
+            break
+        off, d = r - s + t, 1 / (s / alpha + t / beta)
+        b = a * np.sqrt(d)[:, None]
+        inverse = np.linalg.inv(eye + b.T @ b)
+
+        def step(x, y):
+            g = x / alpha - y / beta - off  # noqa: B023
+            dw = inverse @ ((g * d) @ a)  # noqa: B023
+            da = (g - a @ dw) * d  # noqa: B023
+            return dw, da, (x - s * da) / alpha, (y + t * da) / beta
+
+        _, da, ds, dt = step(-alpha * s, -beta * t)
+        f = kind(reach(da, ds, dt))
+        left = float((alpha + f * da) @ (s + f * ds) + (beta - f * da) @ (t + f * dt))
+        aim = kind((left / gap) ** 3 * gap / (2 * len(a)))
+        dw, da, ds, dt = step(aim - alpha * s - da * ds, aim - beta * t + da * dt)
+        f = kind(min(1.0, 0.99 * reach(da, ds, dt)))
+        w, alpha, beta, s, t = w + f * dw, alpha + f * da, beta - f * da, s + f * ds, t + f * dt
+    return w
+
+
+def plane(a: np.ndarray, cost: float = 1.0, tol: float = 1e-9, small: int = 1024) -> np.ndarray:
+    """The weights of one binary C-SVC to a relative duality gap of tol; rows of a are (trial, 1) times the label.
+
+    Many rows are solved roughly first. Those far from the margin then stay on
+    their sides, the others are solved to the end, and all are looked at again:
+    rows that turn out on the other side join the others until there are none.
+    """
+    none = np.zeros(a.shape[1])
+    if len(a) <= small:
+        return _box(a, none, cost, tol)
+    w = _box(a.astype(np.float32), none.astype(np.float32), cost, 1e-2).astype(float)
+    m = a @ w - 1
+    near = max(small // 2, len(a) // 12)
+    band = np.zeros(len(a), dtype=bool)
+    band[np.argpartition(np.abs(m), near)[:near]] = True
+    while True:
+        inside = ~band & (m < 0)
+        w = _box(a[band], cost * (inside.astype(float) @ a), cost, tol)
+        m = a @ w - 1
+        wrong = ~band & ((m < 0) != inside)
+        if not wrong.any():
+            return w
+        band |= np.abs(m) <= np.abs(m[wrong]).max()
+
+
+def classify(train: np.ndarray, labels: np.ndarray, test: np.ndarray, cost: float = 1.0) -> np.ndarray:
+    """Classes of the test rows by one-versus-one votes over standardised features; the lower class wins ties.
+
+    Problems of no more rows than weights are solved together by coordinate descent, others one by one to the end.
+    """
+    mean, sd = train.mean(axis=0), train.std(axis=0, ddof=1)
+    sd[sd == 0] = 1
+    x, test = (train - mean) / sd, (test - mean) / sd
+    classes = np.unique(labels)
+    of = [np.flatnonzero(labels == c) for c in classes]
+    votes = np.zeros((len(test), len(classes)))
+    few: dict[int, list] = {}
+    found = {}
+    for i, j in combinations(range(len(classes)), 2):
+        n = len(of[i]) + len(of[j])
+        if n <= x.shape[1] + 1:
+            rows = np.sort(np.concatenate([of[i], of[j]]))
+            few.setdefault(n, []).append((i, j, rows, np.where(labels[rows] == classes[i], 1.0, -1.0)))
+        else:
+            a = np.ones((n, x.shape[1] + 1))
+            a[: len(of[i]), :-1], a[len(of[i]) :, :-1] = x[of[i]], x[of[j]]
+            a[len(of[i]) :] *= -1
+            found[i, j] = plane(a, cost)
+    for same in few.values():
+        ws = svms(x, np.stack([p[2] for p in same]), np.stack([p[3] for p in same]), cost)
+        found |= {(i, j): w for (i, j, *_), w in zip(same, ws, strict=True)}
+    for (i, j), w in found.items():
+        first = test @ w[:-1] + w[-1] >= 0
+        votes[first, i] += 1
+        votes[~first, j] += 1
+    return classes[votes.argmax(axis=1)]
 
 
 def decode(
@@ -111,14 +188,13 @@ def decode(
             if turn % parts != part:
                 continue
             groups = [g[:least] if equalise else g for g in groups]
-            folds = []
+            right = total = 0
             for f in range(n_folds):
                 test = np.concatenate([g[f * (len(g) // n_folds) : (f + 1) * (len(g) // n_folds)] for g in groups])
                 train = np.setdiff1d(np.concatenate(groups), test)
-                if len(test) and len(train):
-                    folds.append((train, test))
-            right = total = 0
-            for (_, test), got in zip(folds, classify([(x[train], y[train], x[test]) for train, test in folds], cost), strict=True):
+                if not len(test) or not len(train):
+                    continue
+                got = classify(x[train], y[train], x[test], cost)
                 right += int((got == y[test]).sum())
                 total += len(test)
                 np.add.at(confusion, (y[test], got), 1)
@@ -136,7 +212,8 @@ def decode(
         return pa.table(cols | {"accuracy": [float(np.mean(scores))], "stderror": [se], "chance": [1.0 / len(share)], "confusion": pa.array([share.tolist()], pa.list_(pa.list_(pa.float64())))})
 
     rows = df.select(*dict.fromkeys([*keys, condition, epoch, *names]))
-    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, "_part")
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.repartitionByRange(max(4 * parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, "_part")  # by hashes, some tasks would get several parts
     done = rows.groupBy(*keys, "_part").applyInArrow(run, head + "scores array<double>, counts array<array<double>>")
     return done.groupBy(*keys).applyInArrow(gather, head + "accuracy double, stderror double, chance double, confusion array<array<double>>")
 

@@ -64,6 +64,23 @@ def test_problems_solved_together_are_as_alone():
     assert np.allclose(got, [one_svm(x[r], s) for r, s in zip(rows, y, strict=True)], atol=1e-9)
 
 
+@pytest.mark.parametrize(("n", "shift"), [(150, 0.0), (150, 9.0), (3000, 0.0), (3000, 0.4)])
+def test_planes_are_the_optimum(n, shift):
+    rng = np.random.default_rng(n)
+    y = np.where(np.arange(n) % 2 == 0, 1.0, -1.0)
+    x = rng.normal(size=(n, 30)) + shift * y[:, None] / 3
+    a = y[:, None] * np.hstack([x, np.ones((n, 1))])
+    w = decode.plane(a)
+    m = a @ w - 1
+    free = np.abs(m) < 1e-5  # at the optimum w = a'alpha, alpha is 1 inside the margin, 0 outside, and between on it
+    alpha, *_ = np.linalg.lstsq(a[free].T, w - a[m <= -1e-5].sum(axis=0), rcond=None)
+    assert np.abs(w - a[m <= -1e-5].sum(axis=0) - alpha @ a[free]).max() < 1e-3
+    assert free.sum() <= 31 and alpha.min() > -1e-3 and alpha.max() < 1 + 1e-3
+    if shift == 0 and n == 150:  # coordinate descent ends before it
+        value = lambda v: v @ v / 2 + np.maximum(1 - a @ v, 0).sum()
+        assert value(decode.svms(x, np.arange(n)[None], y[None])[0]) > value(w) + 1e-3
+
+
 def test_ica_is_fitted_on_all_samples_of_each_recording(spark, sf_dir):
     rows = views.multich(spark, sf_dir).withColumn("p", F.col("P") / 1000).toPandas().sort_values(["participant", "epoch", "pos"])
     names, spent = ["Q", "p", "D", "T"], {}
