@@ -94,6 +94,17 @@ def test_ica_is_fitted_on_all_samples_of_each_recording(spark, sf_dir):
     assert len(got) == len(spent) > 1 and not np.allclose(*list(spent.values())[:2])  # models differ
 
 
+def test_ica_ends_where_the_gradient_is_zero(spark):
+    rng = np.random.default_rng(1)
+    x, part = rng.laplace(size=(36000, 3)) @ rng.normal(size=(3, 3)) + 5, np.arange(36000) % 2  # each of more than a block
+    rows = spark.createDataFrame([(int(p), i, *map(float, v)) for i, (p, v) in enumerate(zip(part, x, strict=True))] + [(0, -1, None, 1.0, 1.0)], "recording int, sample int, a double, b double, c double")
+    for r in ica.fit_each(rows.repartition(5), ["a", "b", "c"], ["recording"], n_components=3, remove=(0,)).collect():
+        mine = x[part == r["recording"]]
+        u = np.array(r["unmixing"]) @ (mine - np.array(r["mean"])).T / r["scale"]
+        assert np.abs(np.tanh(u / 2) @ u.T / len(mine) - np.eye(3)).max() < 1e-6
+        assert np.allclose(r["unmixing"], ica.infomax(mine, 3)[0], atol=1e-6)
+
+
 def test_ica_does_not_depend_on_partitions(spark):
     rng = np.random.default_rng(0)
     mixed = rng.laplace(size=(900, 3)) @ rng.normal(size=(3, 3))
