@@ -143,21 +143,26 @@ def realign(df: DataFrame, by: str, keys: Sequence[str] = ("participant", "condi
     return rows.withColumn(time, F.col("_start") + (F.col(pos) - 1) * F.col("_dt")).drop("_start", "_end", "_dt", "_count", "_keep")
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], part_bytes: int = 2 << 20, most: int = 20_000) -> DataFrame:
+    """df by keys in partitions whose number grows with its size, which adaptive execution does not join again: a task sorts no more on larger tables."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(most, -(-size // part_bytes)) if size < 2**60 else 0  # a larger size means that it is not known
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def mirror(df: DataFrame, keys: Sequence[str], side: str = "both", time: str = "time", pos: str = "pos") -> DataFrame:
     """Reflects each series before, after, or on both sides, the edge sample not repeated."""
     w = Window.partitionBy(*keys)
-    rows = df.withColumn("_n", F.max(pos).over(w)).withColumn("_dt", (F.max(time).over(w) - F.min(time).over(w)) / (F.max(pos).over(w) - 1))
+    rows = _dealt(df, keys).withColumn("_n", F.max(pos).over(w)).withColumn("_dt", (F.max(time).over(w) - F.min(time).over(w)) / (F.max(pos).over(w) - 1))
     shift = F.when(F.lit(side in ("pre", "both")), F.col("_n") - 1).otherwise(0)
-    parts = [rows.withColumn("_p", F.col(pos) + shift)]
+    to = [F.col(pos) + shift]
     if side in ("pre", "both"):
-        parts.append(rows.filter(F.col(pos) > 1).withColumn("_p", F.col("_n") + 1 - F.col(pos)))
+        to.append(F.when(F.col(pos) > 1, F.col("_n") + 1 - F.col(pos)))
     if side in ("post", "both"):
-        parts.append(rows.filter(F.col(pos) < F.col("_n")).withColumn("_p", shift + 2 * F.col("_n") - F.col(pos)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        to.append(F.when(F.col(pos) < F.col("_n"), shift + 2 * F.col("_n") - F.col(pos)))
+    out = rows.select("*", F.posexplode(F.array(*to)).alias("_i", "_p")).filter("_i = 0 OR _p IS NOT NULL")
     out = out.withColumn(time, F.when(F.col("_p") - shift == F.col(pos), F.col(time)).otherwise(F.col(time) + (F.col("_p") - shift - F.col(pos)) * F.col("_dt")))
-    return out.withColumn(pos, F.col("_p")).drop("_p", "_n", "_dt")
+    return out.withColumn(pos, F.col("_p")).drop("_i", "_p", "_n", "_dt")
 
 
 def unmirror(df: DataFrame, keys: Sequence[str], side: str = "both", pos: str = "pos") -> DataFrame:

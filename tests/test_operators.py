@@ -67,6 +67,19 @@ def test_mirror_round_trip(spark):
         assert np.allclose(back["Ch1"], want["Ch1"]) and np.allclose(back["time"], want["time"])
 
 
+def test_mirror_deals_larger_tables_to_more_tasks(spark):
+    most = []
+    for n in (600, 2400):
+        back = epochs.unmirror(epochs.mirror(synthetic.trials(spark, n_epochs=n, n=500, n_channels=1), ["epoch"]), ["epoch"])
+        parts = back.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert parts.sum() == n * 500
+        most.append(parts.max())
+    assert most[1] < 2 * most[0]
+    odd = spark.createDataFrame([(1, 1, 0.0, 1.0), (1, 2, 0.5, None), (1, None, None, 3.0)], "epoch int, pos int, time double, v double")
+    got = epochs.mirror(odd, ["epoch"]).orderBy("pos").collect()
+    assert [(r["pos"], r["time"], r["v"]) for r in got] == [(None, None, 3.0), (1, -0.5, None), (2, 0.0, 1.0), (3, 0.5, None), (4, 1.0, 1.0)]
+
+
 def test_resample_moves_triggers(spark):
     out = epochs.resample(rec(spark, [0, 0, 0, 7, 0, 0, 0, 9]), 4, ["participant"]).orderBy("sample").toPandas()
     assert out["sample"].tolist() == [1, 2] and out["triggers"].tolist() == [7, 9]
